@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioloom.llm import line_dedup, mixing, syncmers
+from folioloom.llm import html_text, line_dedup, mixing, quality, syncmers, toxicity
 from folioloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,10 +23,26 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "clean", "n_lines", "n_removed").withColumnRenamed("clean", "text")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("row.doc_id", toxicity.held_out("row.doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(table(spark, sf_dir, "pages"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("row.doc_id", quality.held_out("row.doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = syncmers.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_mix_sources, op3_line_dedup, op10_syncmer_fingerprints)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_mix_sources, op3_line_dedup, op6_toxicity, op7_html_main_text, op8_quality, op10_syncmer_fingerprints)}
 ORACLE_SQL: dict[str, str] = {}
