@@ -67,12 +67,13 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     cuts = repeated_runs(lines, min_words, guarantee).groupBy("k").agg(F.collect_list(F.struct("first", "last")).alias("cuts"))
     held = lines.groupBy("k").agg(F.min("fd").alias("fd"), F.sum("words").alias("held"))
     known = held.join(cuts, "k", "left")
-    rows = docs.select(F.struct("*").alias("row"), text_key(body).alias("k"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("id"), body.alias("body"))
+    rows = docs.select(F.struct("*").alias("row"), text_key(body).alias("k"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("id"))
     out = rows.join(known, "k", "left")
-    parts = F.split("body", "\n", -1)
+    body = F.col("row")[text]
+    parts = F.split(body, "\n", -1)
     kept = F.filter(parts, lambda x, i: ~F.exists("cuts", lambda c: i.between(c["first"], c["last"])))
-    clean = F.when(F.col("held").isNull() | (F.col("held") < min_words), F.col("body")).when(F.col("id") != F.col("fd"), F.lit("")).when(F.col("cuts").isNull(), F.col("body")).otherwise(F.array_join(kept, "\n"))
-    out = out.select("row", "body", clean.alias("clean"))
+    clean = F.when(F.col("held").isNull() | (F.col("held") < min_words), body).when(F.col("id") != F.col("fd"), F.lit("")).when(F.col("cuts").isNull(), body).otherwise(F.array_join(kept, "\n"))
+    out = out.select("row", clean.alias("clean"))
     count = lambda c: F.when(F.length(c) > 0, F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit(""))) + 1).otherwise(0)
-    n_lines = F.coalesce(count(F.col("body")), F.lit(0)).cast("long")
+    n_lines = F.coalesce(count(body), F.lit(0)).cast("long")
     return out.select("row", "clean", n_lines.alias("n_lines"), (n_lines - F.coalesce(count(F.col("clean")), F.lit(0))).cast("long").alias("n_removed"))
