@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioloom.llm import html_text, line_dedup, mixing, quality, syncmers, toxicity
+from folioloom.llm import ann, html_text, line_dedup, mixing, ngram_join, quality, syncmers, toxicity
 from folioloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select("row.doc_id", "size", "source_size", "target", "taken", "row.source", "copies")
@@ -39,10 +43,14 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", quality.held_out("row.doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = syncmers.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_mix_sources, op3_line_dedup, op6_toxicity, op7_html_main_text, op8_quality, op10_syncmer_fingerprints)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ann_forest, op2_mix_sources, op3_line_dedup, op6_toxicity, op7_html_main_text, op8_quality, op9_ngram_jaccard, op10_syncmer_fingerprints)}
 ORACLE_SQL: dict[str, str] = {}
