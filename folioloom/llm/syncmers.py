@@ -59,37 +59,33 @@ def matches(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def next_documents(ids: DataFrame, slices: int = 64) -> DataFrame:
-    """ids(id, k, n) -> each row with id2, k2, the key of the row that follows by (id, k), null ids last; the last
+    """ids(id, key, n) -> each row with next, the key of the row that follows by (id, key), null ids last; the last
     is followed by the first. Neighbours are found inside ranges of ids; only each range's ends meet in one task."""
     ids = staged(ids.repartitionByRange(slices, F.col("id").asc_nulls_last()).select("*", F.spark_partition_id().alias("part")), "ids")
-    order = [F.col("id").asc_nulls_last(), F.col("k")]
-    here = F.struct("id", "k")
-    inside = ids.withColumn("follows", F.lead(here).over(Window.partitionBy("part").orderBy(*order)))
-    starts = ids.groupBy("part").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "k")).alias("s"))
+    inside = ids.withColumn("next", F.lead("key").over(Window.partitionBy("part").orderBy(F.col("id").asc_nulls_last(), "key")))
+    starts = ids.groupBy("part").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "key")).alias("s")).select("part", F.col("s.key").alias("start"))
     around = Window.orderBy("part")
-    heads = starts.select("part", F.coalesce(F.lead("s").over(around), F.first("s").over(Window.partitionBy().orderBy("part"))).alias("s"))
-    out = inside.join(heads, "part").withColumn("f", F.coalesce("follows", F.struct("s.id", "s.k")))
-    return out.select("id", "k", "n", F.col("f.id").alias("id2"), F.col("f.k").alias("k2"))
+    heads = starts.select("part", F.coalesce(F.lead("start").over(around), F.first("start").over(Window.partitionBy().orderBy("part"))).alias("start"))
+    return inside.join(heads, "part").select("key", "n", F.coalesce("next", "start").alias("next"))
 
 
 def edited_fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Fingerprints of every text and of its edited text, whose last quarter of code points gives way to the start
     of the next document.
 
-    One row for each distinct pair of id and text (rows equal in both are one document, with one row of the
-    result for each row of the input): doc_id, n_chars, edited, edited_sha256, anchors, edited_anchors,
-    fingerprint, edited_fingerprint, near_edited, near_next. Null texts count as empty, null ids come last;
-    different texts under one id follow each other by their md5. A single document is its own next one.
+    One row for each row of docs: doc_id, n_chars, edited, edited_sha256, anchors, edited_anchors, fingerprint,
+    edited_fingerprint, near_edited, near_next. Rows equal in id and text are one document among the neighbours
+    and have equal results. Null texts count as empty, null ids come last; different texts under one id follow
+    each other by their keys (md5 of id and text). A single document is its own next one. An empty table gives an
+    empty result; other columns of docs are ignored.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("k", text_key(F.col("t")))
-    ids = rows.groupBy("id", "k").agg(F.first(F.length("t")).alias("n"))
-    follow = next_documents(ids).select(F.col("id").alias("owner"), F.col("k").alias("owner_k"), F.col("id2").alias("id"), F.col("k2").alias("k"), F.floor(F.col("n") / 4).cast("int").alias("q"))
-    same = lambda a, b, k: a["id"].eqNullSafe(b[k]) & (a["k"] == b[f"{k}_k"])
-    owned = follow.withColumnRenamed("id", "next").withColumnRenamed("k", "next_k")
-    heads = rows.join(owned, same(rows, owned, "next")).select("owner", "owner_k", "q", F.substring(F.col("t"), F.lit(1), F.col("q")).alias("head"), "t")
-    heads = with_anchors(heads, "t", "next_anchors").withColumn("next_anchors", F.col("next_anchors.hash")).drop("t")
-    heads = heads.dropDuplicates(["owner", "owner_k"])
-    out = rows.join(heads, same(rows, heads, "owner"))
+    id_, t = F.col(doc_id).cast("long"), F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(id_.alias("id"), t.alias("t"), text_key(F.concat(F.coalesce(id_.cast("string"), F.lit("-")), F.lit(":"), t)).alias("key"))
+    follow = next_documents(rows.groupBy("key").agg(F.first("id").alias("id"), F.first(F.length("t")).alias("n")))
+    owned = follow.select(F.col("key").alias("owner"), F.col("next").alias("key"), F.floor(F.col("n") / 4).cast("int").alias("q"))
+    heads = rows.join(owned, "key").select("owner", "q", F.substring(F.col("t"), F.lit(1), F.col("q")).alias("head"), "t")
+    heads = with_anchors(heads, "t", "next_anchors").select(F.col("owner").alias("key"), "q", "head", F.array_distinct("next_anchors.hash").alias("next_anchors"))
+    out = rows.join(heads.dropDuplicates(["key"]), "key")
     out = out.withColumn("n_chars", F.length("t").cast("long")).withColumn("edited", F.concat(F.substring(F.col("t"), F.lit(1), F.col("n_chars").cast("int") - F.col("q")), F.col("head")))
     out = with_anchors(with_anchors(out, "t", "anchors"), "edited", "edited_anchors")
     return out.select(F.col("id").alias("doc_id"), "n_chars", "edited", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "anchors", "edited_anchors", as_text(F.col("anchors")).alias("fingerprint"), as_text(F.col("edited_anchors")).alias("edited_fingerprint"), likeness(F.col("anchors.hash"), F.col("edited_anchors.hash")).alias("near_edited"), likeness(F.col("anchors.hash"), F.col("next_anchors")).alias("near_next"))
