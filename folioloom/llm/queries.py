@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioloom.llm import ann, html_text, line_dedup, mixing, ngram_join, quality, syncmers, toxicity, transducer
+from folioloom.llm import ann, html_text, line_dedup, lm, mixing, ngram_join, quality, syncmers, toxicity, transducer
 from folioloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "clean", "n_lines", "n_removed").withColumnRenamed("clean", "text")
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = transducer.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), check=True)
     return out.select("row.doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "round_trip")
@@ -57,5 +61,5 @@ def op10_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ann_forest, op2_mix_sources, op3_line_dedup, op5_sentencepiece, op6_toxicity, op7_html_main_text, op8_quality, op9_ngram_jaccard, op10_syncmer_fingerprints)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ann_forest, op2_mix_sources, op3_line_dedup, op4_lm_scores, op5_sentencepiece, op6_toxicity, op7_html_main_text, op8_quality, op9_ngram_jaccard, op10_syncmer_fingerprints)}
 ORACLE_SQL: dict[str, str] = {}
