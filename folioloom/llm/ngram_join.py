@@ -5,7 +5,7 @@ Jaccard likeness of t share a shingle among the first n - ceil(t * n) + 1 of eac
 linked into candidate blocks. A block's sets are stored in a prefix tree, ordered by the block's frequencies; a
 set is compared with all others in one walk that shares partial overlaps and leaves subtrees whose remaining
 lengths can't reach t. Sets that are already known to be connected are not walked to again, so a block of near
-copies takes few steps for each set. Blocks beyond BLOCK sets are cut by size into parts that meet pairwise.
+copies takes few steps for each set. Blocks beyond BLOCK shingles are cut by size into parts that meet pairwise.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from folioloom.llm.components import components
 from folioloom.llm.shingles import sets, signatures, text_chunks
 
 #: A shingle that more than 1 / RARE of the sets hold comes late in the order; at most MAX_COMMON are told apart
-#: from the others. Neither has an effect on the result. BLOCK: sets that meet in one task's tree, twice at most.
-RARE, MAX_COMMON, BLOCK, SALTS = 1000, 500_000, 2048, 64
+#: from the others. Neither has an effect on the result. BLOCK: shingles of a task's tree, twice as many at most.
+RARE, MAX_COMMON, BLOCK, SALTS = 1000, 500_000, 1_500_000, 64
 
 
 def _marks(n: int):
@@ -83,21 +83,6 @@ def _among(s: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, s), len(table) - 1)] == s
 
 
-def _sets_of(n: int):
-    """The sets of texts, as bytes, where the text has the signature asked for."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            wanted = batch["sig"].to_pylist()
-            for first, data, bounds in text_chunks(batch["text"]):
-                s, at = sets(data, bounds, n)
-                hit = [i for i, x in enumerate(signatures(s, at)) if x == wanted[first + i]]
-                rows = batch.take(pa.array([first + i for i in hit], pa.int64()))
-                yield pa.RecordBatch.from_arrays([rows["sig"], pa.array([s[at[i] : at[i + 1]].tobytes() for i in hit], pa.binary())], ["sig", "shingles"])
-
-    return run
-
-
 class _Node:
     """A stretch of shingles that a subtree's sets share. least, most: sizes of its sets; live: sets not yet reached."""
 
@@ -191,33 +176,29 @@ def joined(found: list[np.ndarray], percent: int = 80) -> list[int]:
     return out
 
 
-def _links(percent: int):
-    """Sorted rows (task, sig, shingles) to (a, b): each set with the first of those that it is connected with."""
+def _links(n: int, percent: int):
+    """Sorted rows (task, sig, text) to (a, b): each set with the first of those that it is connected with."""
 
-    def solve(names: list[bytes], found: list[np.ndarray]) -> tuple[list[bytes], list[bytes]]:
-        first = dict(zip(names, found))
-        root = joined(list(first.values()), percent)
-        names = list(first)
-        pairs = [(names[i], names[r]) for i, r in enumerate(root) if i != r]
-        return [a for a, _ in pairs], [b for _, b in pairs]
+    def solve(rows: dict[bytes, bytes | None]) -> pa.RecordBatch:
+        found: list[np.ndarray] = []
+        for _, data, bounds in text_chunks(pa.array(list(rows.values()), pa.binary())):
+            s, at = sets(data, bounds, n)
+            found += [s[a:b] for a, b in zip(at, at[1:])]
+        names = list(rows)
+        pairs = [(names[i], names[r]) for i, r in enumerate(joined(found, percent)) if i != r]
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.binary()), pa.array([b for _, b in pairs], pa.binary())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, names, found = None, [], []
-
-        def out() -> pa.RecordBatch:
-            a, b = solve(names, found)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-
+        task, rows = None, {}
         for batch in batches:
-            for t, sig, data in zip(batch["task"].to_pylist(), batch["sig"].to_pylist(), batch["shingles"].to_pylist()):
-                if t != task and names:
-                    yield out()
-                    names, found = [], []
+            for t, sig, text in zip(batch["task"].to_pylist(), batch["sig"].to_pylist(), batch["text"].to_pylist()):
+                if t != task and rows:
+                    yield solve(rows)
+                    rows = {}
                 task = t
-                names.append(sig)
-                found.append(np.frombuffer(data, np.uint64))
-        if names:
-            yield out()
+                rows[sig] = text
+        if rows:
+            yield solve(rows)
 
     return run
 
@@ -249,10 +230,10 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
 
     prefix = F.conv(F.hex(F.substring("sig", 1, 8)), 16, -10).cast("long")
     members = staged(classes.withColumn("node", prefix).join(blocks, "node").select(F.col("root").alias("block"), "sig", "n_shingles", "at.doc_id", "at.k"), "members")
-    task = _tasks(members, percent)
-    fetched = rows.join(members.select(F.col("doc_id").alias("id"), F.col("k").alias("text_k"), "sig"), rows["doc_id"].eqNullSafe(F.col("id")) & (rows["k"] == F.col("text_k"))).select("sig", "text").mapInArrow(_sets_of(n), "sig binary, shingles binary")
-    work = fetched.join(task, "sig").select("task", "sig", "shingles").repartition("task").sortWithinPartitions("task")
-    roots = components(work.mapInArrow(_links(percent), "a binary, b binary"))
+    # texts are smaller than sets of hashes, so texts are dealt to the tasks and shingled there again
+    work = members.join(_tasks(members, percent), "sig").select(F.col("doc_id").alias("id"), F.col("k").alias("text_k"), "sig", "task")
+    dealt = rows.join(work, rows["doc_id"].eqNullSafe(work["id"]) & (rows["k"] == work["text_k"])).select("task", "sig", "text").repartition("task").sortWithinPartitions("task")
+    roots = components(dealt.mapInArrow(_links(n, percent), "a binary, b binary"))
 
     label = classes.join(roots, classes["sig"] == roots["node"], "left").select("sig", "first_id", F.coalesce("root", "sig").alias("root"))
     least = label.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -262,13 +243,13 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
 
 
 def _tasks(members: DataFrame, percent: int) -> DataFrame:
-    """members(block, sig, n_shingles) -> sig, task: blocks of up to BLOCK sets are a task; larger ones are cut by
+    """members(block, sig, n_shingles) -> sig, task: blocks of up to BLOCK shingles are a task; larger ones are cut by
     size into parts, and each pair of parts with sizes that can link is a task."""
-    counted = members.groupBy("block").agg(F.count("*").alias("held"))
+    counted = members.groupBy("block").agg(F.sum("n_shingles").alias("held"))
     small = members.join(counted.filter(F.col("held") <= BLOCK), "block").select("sig", F.concat_ws(":", "block").alias("task"))
     large = members.join(counted.filter(F.col("held") > BLOCK), "block")
-    part = F.floor((F.row_number().over(Window.partitionBy("block").orderBy("n_shingles", "sig")) - 1) / BLOCK)
-    large = staged(large.withColumn("part", part), "parts")
+    before = F.sum("n_shingles").over(Window.partitionBy("block").orderBy("n_shingles", "sig"))
+    large = staged(large.withColumn("part", F.floor(before / BLOCK)), "parts")
     ranges = large.groupBy("block", "part").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
     a, b = ranges.alias("a"), ranges.alias("b")
     pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.part") <= F.col("b.part")) & (F.col("b.least") * percent <= F.col("a.most") * 100)).select(F.col("a.block").alias("block"), F.array(F.col("a.part"), F.col("b.part")).alias("both"))
