@@ -58,7 +58,7 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = syncmers.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "next_doc_id")
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ann_forest, op2_mix_sources, op3_line_dedup, op4_lm_scores, op5_sentencepiece, op6_toxicity, op7_html_main_text, op8_quality, op9_ngram_jaccard, op10_syncmer_fingerprints)}

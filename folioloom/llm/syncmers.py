@@ -74,7 +74,7 @@ def edited_fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     of the next document.
 
     One row for each row of docs: doc_id, n_chars, edited, edited_sha256, anchors, edited_anchors, fingerprint,
-    edited_fingerprint, near_edited, near_next. Rows equal in id and text are one document among the neighbours
+    edited_fingerprint, near_edited, near_next, next_doc_id. Rows equal in id and text are one document among the neighbours
     and have equal results. Null texts count as empty, null ids come last; different texts under one id follow
     each other by their keys (md5 of id and text). A single document is its own next one. An empty table gives an
     empty result; other columns of docs are ignored.
@@ -83,9 +83,9 @@ def edited_fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     rows = docs.select(id_.alias("id"), t.alias("t"), text_key(F.concat(F.coalesce(id_.cast("string"), F.lit("-")), F.lit(":"), t)).alias("key"))
     follow = next_documents(rows.groupBy("key").agg(F.first("id").alias("id"), F.first(F.length("t")).alias("n")))
     owned = follow.select(F.col("key").alias("owner"), F.col("next").alias("key"), F.floor(F.col("n") / 4).cast("int").alias("q"))
-    heads = rows.join(owned, "key").select("owner", "q", F.substring(F.col("t"), F.lit(1), F.col("q")).alias("head"), "t")
-    heads = with_anchors(heads, "t", "next_anchors").select(F.col("owner").alias("key"), "q", "head", F.array_distinct("next_anchors.hash").alias("next_anchors"))
+    heads = rows.join(owned, "key").select("owner", "q", F.col("id").alias("next_doc_id"), F.substring(F.col("t"), F.lit(1), F.col("q")).alias("head"), "t")
+    heads = with_anchors(heads, "t", "next_anchors").select(F.col("owner").alias("key"), "q", "next_doc_id", "head", F.array_distinct("next_anchors.hash").alias("next_anchors"))
     out = rows.join(heads.dropDuplicates(["key"]), "key")
     out = out.withColumn("n_chars", F.length("t").cast("long")).withColumn("edited", F.concat(F.substring(F.col("t"), F.lit(1), F.col("n_chars").cast("int") - F.col("q")), F.col("head")))
     out = with_anchors(with_anchors(out, "t", "anchors"), "edited", "edited_anchors")
-    return out.select(F.col("id").alias("doc_id"), "n_chars", "edited", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "anchors", "edited_anchors", as_text(F.col("anchors")).alias("fingerprint"), as_text(F.col("edited_anchors")).alias("edited_fingerprint"), likeness(F.col("anchors.hash"), F.col("edited_anchors.hash")).alias("near_edited"), likeness(F.col("anchors.hash"), F.col("next_anchors")).alias("near_next"))
+    return out.select(F.col("id").alias("doc_id"), "n_chars", "edited", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "anchors", "edited_anchors", as_text(F.col("anchors")).alias("fingerprint"), as_text(F.col("edited_anchors")).alias("edited_fingerprint"), likeness(F.col("anchors.hash"), F.col("edited_anchors.hash")).alias("near_edited"), likeness(F.col("anchors.hash"), F.col("next_anchors")).alias("near_next"), "next_doc_id")
