@@ -1,11 +1,16 @@
 """N-gram Jaccard join: a prefix-tree join over sets of word shingles.
 
-Sets that are equal are one row. A global order puts shingles that very many sets hold last. Two sets with a
-Jaccard likeness of t share a shingle among the first n - ceil(t * n) + 1 of each, so sets that share one of these are
-linked into candidate blocks. A block's sets are stored in a prefix tree, ordered by the block's frequencies; a
-set is compared with all others in one walk that shares partial overlaps and leaves subtrees whose remaining
-lengths can't reach t. Sets that are already known to be connected are not walked to again, so a block of near
-copies takes few steps for each set. Blocks beyond BLOCK shingles are cut by size into parts that meet pairwise.
+Sets that are equal are one row. A global order puts shingles that many sets hold last. Let y lack a of the n
+shingles of x and hold b others. A Jaccard likeness of t means a + t * b <= (1 - t) * n, and a shingle
+that is missing breaks two pairs of neighbours in the order, one that is added breaks one: fewer than
+2 * (1 - t) * n + 1 in all. So of the first 2 * (1 - t) * n + 2 shingles of two linked sets a pair of neighbours is the
+same, and sets with such a pair in common are candidates. Single shingles, which long texts share by chance, are not
+enough; that keeps candidate blocks small.
+
+A block's sets are stored in a prefix tree, ordered by the block's frequencies; a set is compared with all others
+in one walk that shares partial overlaps and leaves subtrees whose remaining lengths can't reach t. Sets that are
+already known to be connected are not walked to again, so a block of near copies takes few steps for each set.
+Blocks beyond BLOCK shingles are cut by size into parts that meet pairwise.
 """
 
 from __future__ import annotations
@@ -19,15 +24,16 @@ from pyspark.sql import functions as F
 
 from folioloom.llm.common import staged, text_key
 from folioloom.llm.components import components
-from folioloom.llm.shingles import sets, signatures, text_chunks
+from folioloom.llm.shingles import mixed, sets, signatures, text_chunks
 
-#: A shingle that more than 1 / RARE of the sets hold comes late in the order; at most MAX_COMMON are told apart
-#: from the others. Neither has an effect on the result. BLOCK: shingles of a task's tree, twice as many at most.
-RARE, MAX_COMMON, BLOCK, SALTS = 1000, 500_000, 1_500_000, 64
+#: A shingle that COMMON sets or more hold comes late in the order; at most MAX_COMMON are told apart from the
+#: others, the most frequent ones. Neither has an effect on the result. BLOCK: shingles of a task's tree, twice as many at most.
+COMMON, MAX_COMMON, BLOCK, SALTS = 6, 3_000_000, 1_500_000, 64
 
 
 def _marks(n: int):
-    """Set sizes and signatures of texts, and shingles that stand out in a batch with their numbers."""
+    """Set sizes and signatures of texts; and for each batch the smaller half of its different sets' shingles (those
+    that a prefix can hold), cut to 32 bits: sorted, in 256 buckets by their first byte, the other bytes laid out one after the other so that they compress."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -38,41 +44,74 @@ def _marks(n: int):
                 sizes += np.diff(at).tolist()
                 names += sig
                 new = np.array([x is not None and x not in known and not known.add(x) for x in sig], bool)
-                seen.append(s[np.repeat(new, np.diff(at))])
-            key, times = np.unique(np.concatenate(seen) if seen else np.zeros(0, np.uint64), return_counts=True)
-            stands = times >= max(3, len(known) // (2 * RARE))
-            docs, more = len(batch), int(stands.sum())
+                size = np.diff(at)
+                first = np.arange(len(s)) - np.repeat(at[:-1], size) <= np.repeat(size, size) // 2
+                seen.append((s[np.repeat(new, size) & first] >> np.uint64(32)).astype(np.uint32))
+            short = np.sort(np.concatenate(seen) if seen else np.zeros(0, np.uint32))
+            parts = np.split(short & np.uint32(0xFFFFFF), np.searchsorted(short, np.arange(1, 256, dtype=np.uint64) << np.uint64(24)))
+            held = [(i, x.view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()) for i, x in enumerate(parts) if len(x)]
+            docs, more = len(batch), len(held)
             null = lambda k, kind: pa.nulls(k, kind)
             both = lambda a, b: pa.concat_arrays([a, b])
             yield pa.RecordBatch.from_arrays(
-                [both(batch["doc_id"], null(more, pa.int64())), both(batch["k"], null(more, pa.binary())), pa.array(sizes + [None] * more, pa.int64()), pa.array(names + [None] * more, pa.binary()), pa.array([None] * docs + key[stands].view(np.int64).tolist(), pa.int64()), pa.array([None] * docs + times[stands].tolist(), pa.int64())],
-                ["doc_id", "k", "n_shingles", "sig", "common", "times"],
+                [both(batch["doc_id"], null(more, pa.int64())), both(batch["k"], null(more, pa.binary())), pa.array(sizes + [None] * more, pa.int64()), pa.array(names + [None] * more, pa.binary()), pa.array([None] * docs + [i for i, _ in held], pa.int32()), pa.array([None] * docs + [x for _, x in held], pa.binary())],
+                ["doc_id", "k", "n_shingles", "sig", "bucket", "rest"],
             )
 
     return run
 
 
-def _prefixes(n: int, percent: int, common: np.ndarray):
-    """(key, salt, c): the prefix shingles of each set, c being the first 8 bytes of its signature."""
+def _frequent(least: int):
+    """Rows (bucket, rest) sorted by bucket to (key, times) of the cut shingles that stand in `least` sets or more.
+    The counters of a bucket have a fixed size, whatever the number of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, counts = None, np.zeros(0, np.uint16)
+
+        def out() -> pa.RecordBatch:
+            at = np.flatnonzero(counts >= least)
+            return pa.RecordBatch.from_arrays([pa.array(at + (bucket << 24), pa.int64()), pa.array(counts[at].astype(np.int64))], ["key", "times"])
+
+        for batch in batches:
+            for b, rest in zip(batch["bucket"].to_pylist(), batch["rest"].to_pylist()):
+                if b != bucket:
+                    if bucket is not None:
+                        yield out()
+                    bucket, counts = b, np.zeros(1 << 24, np.uint16)
+                x = np.frombuffer(rest, np.uint8).reshape(3, -1).astype(np.uint32)
+                at, n = np.unique(x[0] | x[1] << 8 | x[2] << 16, return_counts=True)
+                counts[at] = np.minimum(counts[at].astype(np.int64) + n, 65535)
+        if bucket is not None:
+            yield out()
+
+    return run
+
+
+def _prefixes(n: int, percent: int, order_of_common):
+    """(key, salt, c): the pairs of neighbours in the prefix of each set, c being the first 8 bytes of its signature.
+    order_of_common: sorted cut shingles that come late."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = order_of_common.value
         for batch in batches:
             known: set[bytes] = set()
             for _, data, bounds in text_chunks(batch["text"]):
                 s, at = sets(data, bounds, n)
                 sig = signatures(s, at)
                 size = np.diff(at)
-                late = _among(s, common)
+                late = _among((s >> np.uint64(32)).astype(np.uint32), common)
                 of = np.repeat(np.arange(len(size)), size)
                 order = np.lexsort((s, late, of))
                 place = np.arange(len(s)) - np.repeat(at[:-1], size)
-                length = size - (percent * size + 99) // 100 + 1
+                length = np.minimum(size, 2 * (100 - percent) * size // 100 + 2)
                 new = np.array([x is not None and x not in known and not known.add(x) for x in sig], bool)
-                keep = (place < length[of]) & new[of]
+                keep = (place + 1 < length[of]) & new[of]
                 c = np.array([int.from_bytes(x[:8], "big", signed=True) if x else 0 for x in sig], np.int64)
-                chosen = order[keep]
-                salt = np.where(late[chosen], 1 + (c[of[chosen]] % SALTS + SALTS) % SALTS, 0)
-                yield pa.RecordBatch.from_arrays([pa.array(s[chosen].view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(c[of[chosen]])], ["key", "salt", "c"])
+                at_ = np.flatnonzero(keep)
+                chosen, after = order[at_], order[np.minimum(at_ + 1, len(order) - 1)]
+                key = mixed(s[chosen] * np.uint64(3) + s[after])
+                salt = np.where(late[chosen] & late[after], 1 + (c[of[at_]] % SALTS + SALTS) % SALTS, 0)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(c[of[at_]])], ["key", "salt", "c"])
 
     return run
 
@@ -212,14 +251,15 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     empty table gives an empty result. Other columns of docs are ignored.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text_key(F.col(text)), F.lit(b"")).alias("k"), F.col(text).cast("binary").alias("text"))
-    marks = staged(rows.mapInArrow(_marks(n), "doc_id long, k binary, n_shingles long, sig binary, common long, times long"), "marks")
+    marks = staged(rows.mapInArrow(_marks(n), "doc_id long, k binary, n_shingles long, sig binary, bucket int, rest binary"), "marks")
     of_docs = marks.filter("n_shingles is not null").select("doc_id", "k", "n_shingles", "sig")
     classes = staged(of_docs.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "k")).alias("at")), "classes")
-    # bounded by MAX_COMMON numbers; a place in the order, not a filter
-    common = marks.filter("common is not null").groupBy("common").agg(F.sum("times").alias("times")).filter(F.col("times") > F.lit(max(16, classes.count() // RARE))).orderBy(F.col("times").desc(), "common").limit(MAX_COMMON).select("common").toPandas()["common"]
-    common = np.sort(common.to_numpy(dtype=np.int64).view(np.uint64))
+    # at most MAX_COMMON numbers, the most frequent ones; they change the order of shingles, not the result
+    counted = marks.filter("bucket is not null").select("bucket", "rest").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_frequent(COMMON), "key long, times long")
+    common = np.sort(counted.orderBy(F.col("times").desc(), "key").limit(MAX_COMMON).select("key").toPandas()["key"].to_numpy(dtype=np.uint32))
 
-    keys = rows.select("text").mapInArrow(_prefixes(n, percent, common), "key long, salt int, c long")
+    order = docs.sparkSession.sparkContext.broadcast(common)
+    keys = rows.select("text").mapInArrow(_prefixes(n, percent, order), "key long, salt int, c long")
     # one pass over the keys; of keys in a single set nothing is left. Common keys are dealt out by salt first.
     least = F.min("c").over(Window.partitionBy("key", "salt"))
     shared = staged(keys.withColumn("least", least).filter("c != least or salt > 0"), "shared")
