@@ -62,4 +62,15 @@ def op10_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ann_forest, op2_mix_sources, op3_line_dedup, op4_lm_scores, op5_sentencepiece, op6_toxicity, op7_html_main_text, op8_quality, op9_ngram_jaccard, op10_syncmer_fingerprints)}
-ORACLE_SQL: dict[str, str] = {}
+#: The mixture in SQL; the other results rest on hashes, models or searches that SQL does not have.
+ORACLE_SQL: dict[str, str] = {
+    "op2_mix_sources": r"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, coalesce(1.0::DOUBLE - 0.75::DOUBLE * length(regexp_replace(text, '[\p{L}\x20\x09-\x0D]+', '', 'g')) / greatest(length(text), 1), 1.0) AS w,
+ (CAST('0x' || substring(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':7'), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u FROM documents),
+ s AS (SELECT source, sum(size)::BIGINT AS source_size, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT]::DOUBLE AS weight FROM d GROUP BY source),
+ l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2.0::DOUBLE * source_size) OVER (ORDER BY 2.0::DOUBLE * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY 2.0::DOUBLE * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s),
+ t AS (SELECT source, source_size, least(2.0::DOUBLE * source_size, (max(level) OVER ()) * weight) AS target FROM l),
+ e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t),
+ o AS (SELECT d.*, source_size, target, epochs, round(target - epochs * source_size)::BIGINT - coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY pow(u, 1.0::DOUBLE / w) DESC, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source),
+ p AS (SELECT *, greatest(0, least(size, room)) AS part FROM o)
+ SELECT doc_id, size::BIGINT AS size, source_size, target, (epochs * size + part)::BIGINT AS taken, source, (epochs + CASE WHEN part > 0 AND 2 * part >= size THEN 1 ELSE 0 END)::INTEGER AS copies FROM p""",
+}
