@@ -3,7 +3,7 @@
 Every page is parsed into blocks. Its containers are scored by the text that they hold, and each page votes with
 these scores on the generalised tag-class paths of its containers; Spark adds the votes up for each host. Then
 every page is extracted again from the containers on its host's winning path. A page without that path, or with
-no text there, uses its own best container.
+no text there, uses its own best container. Where nothing is left but noise, the noise counts as text.
 """
 
 from __future__ import annotations
@@ -21,14 +21,22 @@ _MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|head|button|object)\b[^>]*>.*?(?:</\1\s*>|(?=<body)|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""",
     re.S | re.I,
 )
-_ATTR = re.compile(r"""([a-z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 # Fixed values of HTML: elements without content, elements that begin a new block, elements that can hold an article.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _HOLDER = frozenset("article body center div main section td".split())
 _ENDS_P = _BLOCK
 _ASIDE = frozenset("nav footer aside form menu dialog".split())
-_NOISE = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|comments?|comment\w*|repl(?:y|ies)|sidebar\w*|menu\w*|nav|navbar|navigation|breadcrumbs?|footer|masthead|cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|subscription|share|sharing|social|related|recommended|widget|toolbar|pagination|pager|disqus|login|signup)(?:$|[-_\s])", re.I)
+# A class or id is noise as a whole: one of these names, alone or with a word for a place before or a part behind it.
+_NOISE = re.compile(
+    r"(?:(?:site|page|post|entry|article|main|global|left|right|top|bottom|header|user|reader|primary|secondary|cookie|google|email|side|nav)[-_])?"
+    r"(?:ads?|advert(?:s|isements?|ising)?|sponsor(?:s|ed)?|promos?|promotions?|banners?|comments?|repl(?:y|ies)|respond|sidebars?|menus?|nav|navbar|navigation|breadcrumbs?|footer|masthead|cookies?|consent|notices?|alerts?|popups?|modals?|newsletter|subscribe|subscription|share|sharing|social|related|recommended|widgets?|toolbar|pagination|pager|disqus|login|signup)"
+    r"(?:[-_](?:lists?|box|area|section|wrap|wrapper|container|block|slot|bar|links?|buttons?|icons?|inner|body|content|items?|form|title|posts?|articles?|stories|notice|banner|thread|text|widget|menu|nav|footer|left|right|top|bottom))*(?:[-_]?\d+)?",
+    re.I,
+)
+# By class or id these are never noise: they hold the article, and their classes tell of the page's layout.
+_WHOLE = frozenset("html body main article".split())
 
 
 def _hidden(tag: str, attrs: str, inside: list) -> tuple[bool, str]:
@@ -37,16 +45,16 @@ def _hidden(tag: str, attrs: str, inside: list) -> tuple[bool, str]:
         return tag in _ASIDE or tag == "header" and not any(e[0] in ("article", "main") for e in inside), tag
     found = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(attrs)}
     names = found.get("class", "")
-    noise = tag in _ASIDE or bool(_NOISE.search(names) or _NOISE.search(found.get("id", "")))
-    noise = noise or found.get("role", "") in ("navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog") or found.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I)) or bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs, re.I))
+    noise = tag in _ASIDE or tag not in _WHOLE and any(_NOISE.fullmatch(x) for x in (*names.split(), *found.get("id", "").split()))
+    noise = noise or found.get("role", "") in ("navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog") or found.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I)) or "hidden" in found
     noise = noise or tag == "header" and not any(e[0] in ("article", "main") for e in inside)
     return noise, ".".join([tag, *sorted(re.sub(r"\d+", "#", x) for x in set(names.lower().split()))])
 
 
-def blocks(page: str) -> Iterator[tuple[list[tuple[int, str]], str, bool]]:
+def blocks(page: str, filtered: bool = True) -> Iterator[tuple[list[tuple[int, str]], str, bool]]:
     """The blocks of a page that may belong to an article, in order: the containers around it from the outermost
     (number and path), its text with character references decoded and white space collapsed, and whether it is a
-    link alone."""
+    link alone. Unfiltered, blocks in elements that are no part of an article come too."""
     stack: list[tuple[str, str, bool, int]] = []  # tag, path, noise, number of the element
     text: list[str] = []
     at = count = linked = 0
@@ -93,7 +101,7 @@ def blocks(page: str) -> Iterator[tuple[list[tuple[int, str]], str, bool]]:
             continue
         noise, name = _hidden(tag, m[4].strip(), stack)
         count += 1
-        noisy = noisy or noise
+        noisy = noisy or noise and filtered
         stack.append((tag, f"{stack[-1][1]}>{name}" if stack else name, noisy, count))
     if at < len(page) and not noisy:
         text.append(page[at:])
@@ -114,8 +122,9 @@ def container_scores(found: list[tuple[list[tuple[int, str]], str, bool]]) -> tu
 
 
 def extract(page: str | None, path: str | None) -> str:
-    """The text of the page's containers on the path, else of its best container, else of the whole page."""
-    found = list(blocks(page or ""))
+    """The text of the page's containers on the path, else of its best container, else of the whole page. A page that
+    has no text but in elements taken for noise is read with them."""
+    found = list(blocks(page or "")) or list(blocks(page or "", filtered=False))
     if path is not None and (kept := [t for around, t, _ in found if any(p == path for _, p in around)]):
         return "\n\n".join(kept)
     _, scores = container_scores(found)

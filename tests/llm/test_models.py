@@ -158,3 +158,13 @@ def test_html(spark):
     paths = html_text.host_paths(spark.createDataFrame(rows, "page_id long, url string, html string, path int")).collect()
     assert {r["host"]: r["path"] for r in paths}["host"] == "html>body>div.post-#"
     assert html_text.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_html_layout_classes_are_no_noise():
+    long = "A sentence of the article that is long enough to count."
+    for outer in ('<body class="single no-sidebar">', '<main class="content with-banner">', '<article class="post comments-open sidebar" id="comments">', '<div class="has-sidebar social-science">', '<div title="the hidden truth" class="md hidden-x">', '<div class="md hidden x">', "<div data-hidden=1>"):
+        page = f'{outer}<p>{long}</p><div class="comments"><p>Noise.</p></div><div class="a site-footer"><p>Noise.</p></div><p hidden>Noise.</p><p hidden="">Noise.</p>'
+        assert html_text.extract(page, None) == long, outer
+    # all that the page has stands in elements taken for noise
+    assert html_text.extract(f"<body><form><div><p>{long}</p></div></form></body>", None) == long
+    assert html_text.extract(f'<div class="sidebar"><p>{long}</p></div>', "html>body") == long
