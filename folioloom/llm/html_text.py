@@ -17,8 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Comments and elements without markup inside run to the end of the page if they are not closed. Elements that are no
+# text either are left out with all they hold if they are closed, and are met as tags of their own if not.
 _MARKUP = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|head|button|object)\b[^>]*>.*?(?:</\1\s*>|(?=<body)|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""",
+    r"""<!--.*?(?:-->|\Z)|<(script|style|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<head\b[^>]*>.*?(?:</head\s*>|(?=<body))|<(?!(?:svg|object|iframe)\b[^>]*/>)(noscript|template|svg|iframe|select|button|object)\b[^>]*>[^<]*+(?:<(?!/?\2\b)[^<]*+)*+</\2\s*>|<(/?)([a-z][a-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""",
     re.S | re.I,
 )
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -28,6 +30,10 @@ _BLOCK = frozenset("address article aside blockquote body caption center dd deta
 _HOLDER = frozenset("article body center div main section td".split())
 _ENDS_P = _BLOCK
 _ASIDE = frozenset("nav footer aside form menu dialog".split())
+# Elements that are no text, those of them that may hold their like, and what stands in a head.
+_SKIP = frozenset("head noscript template svg iframe select button object".split())
+_NESTED = frozenset("template object".split())
+_IN_HEAD = frozenset("base link meta noscript script style template title".split())
 # A class or id is noise as a whole: one of these names, alone or with a word for a place before or a part behind it.
 _NOISE = re.compile(
     r"(?:(?:site|page|post|entry|article|main|global|left|right|top|bottom|header|user|reader|primary|secondary|cookie|google|email|side|nav)[-_])?"
@@ -56,6 +62,7 @@ def blocks(page: str, filtered: bool = True) -> Iterator[tuple[list[tuple[int, s
     (number and path), its text with character references decoded and white space collapsed, and whether it is a
     link alone. Unfiltered, blocks in elements that are no part of an article come too."""
     stack: list[tuple[str, str, bool, int]] = []  # tag, path, noise, number of the element
+    last: dict[str, int] = {}  # where the last end tag of a name stands
     text: list[str] = []
     at = count = linked = 0
     noisy = False
@@ -65,7 +72,7 @@ def blocks(page: str, filtered: bool = True) -> Iterator[tuple[list[tuple[int, s
         if text:
             clean = " ".join(html.unescape("".join(text)).split())
             text.clear()
-            if clean and not noisy:
+            if clean:
                 yield [(n, p) for t, p, _, n in stack if t in _HOLDER], clean, linked >= 0.9 * len(clean)
         linked = 0
 
@@ -74,22 +81,38 @@ def blocks(page: str, filtered: bool = True) -> Iterator[tuple[list[tuple[int, s
         del stack[k:]
         noisy = bool(stack) and stack[-1][2]
 
+    def end_skipped(tag: str) -> None:
+        """Pop what a start tag (or text, without one) shows to be over: a head, or an element that nothing closes."""
+        if tag in _BLOCK:
+            k = len(stack)
+            while k and stack[k - 1][0] not in _BLOCK:
+                k -= 1
+            k = next((j for j in range(k, len(stack)) if stack[j][0] in _SKIP and (stack[j][0] not in _NESTED or last[stack[j][0]] < at)), None)
+            if k is not None:
+                pop(k)
+        elif stack and stack[-1][0] == "head" and tag not in _IN_HEAD:
+            pop(len(stack) - 1)
+
     for m in _MARKUP.finditer(page):
+        if noisy and stack[-1][0] == "head" and page[at : m.start()].strip():
+            end_skipped("")
         if m.start() > at and not noisy:
             text.append(part := page[at : m.start()])
             if stack and stack[-1][0] == "a":
                 linked += len(part)
         at = m.end()
-        tag = (m[3] or "").lower()
+        tag = (m[4] or "").lower()
         if not tag:
             continue
-        if m[2]:
+        if m[3]:
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
             if tag in _BLOCK:
                 yield from flush()
-            if k is not None and (tag in _BLOCK or not any(e[0] in _BLOCK for e in stack[k + 1 :])):
+            if k is not None and (tag in _BLOCK or tag in _SKIP or not any(e[0] in _BLOCK for e in stack[k + 1 :])):
                 pop(k)
             continue
+        if noisy:
+            end_skipped(tag)
         if tag in _BLOCK:
             yield from flush()
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in _BLOCK), None)
@@ -97,12 +120,16 @@ def blocks(page: str, filtered: bool = True) -> Iterator[tuple[list[tuple[int, s
                 pop(k)
         elif tag == "br":
             text.append(" ")
-        if tag in _VOID or m[4].endswith("/") and tag not in _BLOCK:
+        if tag in _VOID or m[5].endswith("/") and tag not in _BLOCK:
             continue
-        noise, name = _hidden(tag, m[4].strip(), stack)
+        noise, name = _hidden(tag, m[5].strip(), stack)
         count += 1
-        noisy = noisy or noise and filtered
+        if tag in _NESTED and tag not in last:
+            last[tag] = max((e.start() for e in re.finditer(f"</{tag}\\b", page, re.I)), default=-1)
+        noisy = noisy or noise and filtered or tag in _SKIP
         stack.append((tag, f"{stack[-1][1]}>{name}" if stack else name, noisy, count))
+    if noisy and stack[-1][0] == "head" and page[at:].strip():
+        end_skipped("")
     if at < len(page) and not noisy:
         text.append(page[at:])
     yield from flush()

@@ -168,3 +168,16 @@ def test_html_layout_classes_are_no_noise():
     # all that the page has stands in elements taken for noise
     assert html_text.extract(f"<body><form><div><p>{long}</p></div></form></body>", None) == long
     assert html_text.extract(f'<div class="sidebar"><p>{long}</p></div>', "html>body") == long
+
+
+def test_html_elements_that_are_not_closed():
+    cases = {
+        '<p>one</p><svg class="i"/><p>two</p><p>three</p>': "one|two|three", '<p>one</p><svg class="i"/><p>two</p><svg><path d="M0"/>no</svg><p>three</p>': "one|two|three",
+        "<p>one <button>no</p><p>two</p>": "one|two", "<div>one<button>no<p>two</p></div><p>three <button>no</button></p>": "one|two|three", "<p>one</p><select><option>no<p>two</p>": "one|two",
+        "<p>one</p><iframe src=x><p>two</p>": "one|two", "<div><p>one</p><object>no</div><p>two</p>": "one|two", "<p>one</p><noscript><p>no</p></div></noscript><p>two</p>": "one|two",
+        "<p>one</p><svg><svg>no</svg>no</svg>two<p>three": "one|two|three", "<p>one</p><template><template>no</template><p>no</p></template><p>two</p>": "one|two", "<p>one</p><template>no<p>two</p>": "one|two",
+        "<html><head><title>no</title><p>one</p>": "one", "<head><meta x>one<br>two": "one two", "<head><title>no</title><a href=x>one</a> two": "one two", "<head><title>no</title></head><body>one": "one",
+        "<p>one</p><script>no<p>no</p>": "one", "<p>one</p><!-- no <p>no</p>": "one", "<p>one</p><textarea>no<p>no</p>": "one", "<p>one</p><button>a<button>b</button><p>two</p>": "one|two",
+    }
+    for page, want in cases.items():
+        assert "|".join(t for _, t, _ in html_text.blocks(page)) == want, page
