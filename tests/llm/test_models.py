@@ -181,3 +181,16 @@ def test_html_elements_that_are_not_closed():
     }
     for page, want in cases.items():
         assert "|".join(t for _, t, _ in html_text.blocks(page)) == want, page
+
+
+def test_lm_mixture_has_no_floor(spark):
+    c, spelled = np.array([0, 0, 3, 3, 3.0]), np.array([-2.0, -5000.0, -2.0, -5000.0, -1e-3])
+    want = [math.log10(0.5) - 2, math.log10(0.5) - 5000, math.log10(0.5 * 3 / 100 + 0.5 * 1e-2), math.log10(0.5 * 3 / 100), math.log10(0.5 * 3 / 100 + 0.5 * 10**-1e-3)]
+    assert lm._mixed(c, 100, spelled) == pytest.approx(want)
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(c, spelled))], "i int, c double, s double")
+    assert [r[0] for r in df.orderBy("i").select(lm._mixed_column(F.col("c"), 100, F.col("s"))).collect()] == pytest.approx(want)
+    docs = [(i, "some plain words of a text") for i in range(20)] + [(100 + n, "漢字" * n) for n in (200, 2000)]
+    got = {r["doc_id"]: r["score"] for r in lm.score_texts(spark.createDataFrame(docs, "doc_id long, text string"), held_out=8, folds=9).collect()}
+    unseen = [(i, "漢字" * n) for i, n in ((k, n) for k in range(1000, 1100) for n in [200 + 18 * (k - 1000)])]
+    out = lm.score_texts(spark.createDataFrame(docs[:20] + unseen, "doc_id long, text string")).filter("held_out and doc_id >= 1000").orderBy("doc_id").collect()
+    assert len(got) == 22 and len(out) > 3 and all(a["score"] - b["score"] > 10 for a, b in zip(out, out[1:])) and out[-1]["score"] < -600
