@@ -6,7 +6,9 @@ run only on pairs that share an author key and have titles long enough to be nea
 
 from __future__ import annotations
 
-import pandas as pd
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,18 +89,6 @@ def match_with_candidates(pairs: DataFrame, pool: DataFrame | None = None, thres
     return best_match(every.groupBy("left_id", "left_pos", "right_id").agg(F.min("right_pos").alias("right_pos"), F.max("score").alias("score")), threshold)
 
 
-def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
-    used: set = set()
-    out = []
-    for _, group in rows.sort_values(["left_pos", "left_id"]).groupby(["left_pos", "left_id"], sort=False):
-        for r in group.sort_values(["score", "right_pos"], ascending=[False, True]).itertuples():
-            if r.right_id not in used:
-                used.add(r.right_id)
-                out.append((r.left_id, r.right_id, r.score))
-                break
-    return pd.DataFrame(out, columns=["left_id", "right_id", "score"])
-
-
 def one_to_one(pairs: DataFrame, rounds: int = 12) -> DataFrame:
     """Left records in order take their best right record that no earlier one took: left_id, right_id, score.
 
@@ -122,29 +112,36 @@ def one_to_one(pairs: DataFrame, rounds: int = 12) -> DataFrame:
 
 
 def _deferred(pairs: DataFrame, rounds: int) -> DataFrame:
+    """Rounds until nobody is refused. After every `rounds` rounds what is left is written and read again, so that
+    plans stay short; a chain of refusals takes as many rounds as it is long."""
     asks = Window.partitionBy("left_id").orderBy(F.col("score").desc(), "right_pos", "right_id")
     takes = Window.partitionBy("right_id").orderBy("left_pos", "left_id")
-    alive = pairs
-    for _ in range(rounds):
+    alive, done = pairs, 0
+    held: list[DataFrame] = []
+    while True:
         best = alive.withColumn("n", F.row_number().over(asks)).filter("n = 1").withColumn("m", F.row_number().over(takes)).persist()
         refused = best.filter("m > 1").select("left_id", "right_id")
         if refused.isEmpty():
             return best.select("left_id", "right_id", "score")
-        alive = alive.join(refused, ["left_id", "right_id"], "left_anti")
-    # long chains of refusals: the remaining blocks go one by one, grouped by what the rights have in common
-    groups = _blocks(pairs)
-    return pairs.join(groups, "left_id").groupBy("group").applyInPandas(lambda rows: _greedy(rows), "left_id long, right_id long, score double")
-
-
-def _blocks(pairs: DataFrame) -> DataFrame:
-    """left_id, group: lefts that chains of shared rights connect."""
-    label = pairs.select("left_id", F.col("left_id").alias("group")).distinct()
-    while True:
-        by_right = pairs.join(label, "left_id").groupBy("right_id").agg(F.min("group").alias("g"))
-        new = pairs.join(by_right, "right_id").groupBy("left_id").agg(F.min("g").alias("group")).persist()
-        if new.join(label.withColumnRenamed("group", "old"), "left_id").filter("old != `group`").isEmpty():
-            return new
-        label = new
+        held.append(best)
+        alive, done = alive.join(refused, ["left_id", "right_id"], "left_anti"), done + 1
+        if done % rounds == 0:
+            alive = _written(alive)
+            for df in held:
+                df.unpersist()
+            held.clear()
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """df as a table in the folder that driver and executors share."""
+    spark = df.sparkSession
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        path = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(path)
+    path = f"{path.rstrip('/')}/pairs-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def match_report(left: DataFrame, right: DataFrame, links: DataFrame) -> DataFrame:

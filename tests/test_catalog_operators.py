@@ -2,6 +2,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.group import GroupedData as DataFrameGroups
 
 from folioloom.operators import catalog, extract, genres, jobs, link, reviews, search, similar
 from folioloom.functions.profile import AXIS_NAMES
@@ -103,3 +104,36 @@ def test_catalog_tables(spark, tmp_path):
     pos = [(r["pos"], r["aggregate_rating"] or 0.0, r["title"]) for r in catalog.catalog_position(w).collect()]
     assert sorted(p[0] for p in pos) == list(range(1, 41))
     assert [(-r, t) for _, r, t in sorted(pos)] == sorted((-r, t) for _, r, t in pos)
+
+
+def test_neighbors_in_blocks_of_bounded_size(spark, monkeypatch):
+    rnd = random.Random(5)
+    rows = [(i, *(rnd.randint(1, 10) for _ in AXIS_NAMES), rnd.sample("abcdef", 2), rnd.sample("xyz", 2)) for i in range(120)]
+    df = spark.createDataFrame(rows, f"work_id long, {', '.join(f'{n} int' for n in AXIS_NAMES)}, themes array<string>, tropes array<string>")
+    seen = spark.sparkContext.accumulator(0)
+    plain = similar._neighbour_block
+
+    def counted(k):
+        run = plain(k)
+
+        def wrapped(rows, others):
+            seen.add(1)
+            return run(rows, others)
+
+        return wrapped
+
+    key = lambda x: sorted((r["work_id"], r["mode"], r["rank"], round(r["score"], 9)) for r in x)
+    want = key(similar.neighbors(df, k=3, blocks=1).collect())
+    monkeypatch.setattr(similar, "BLOCK", 10)
+    monkeypatch.setattr(similar, "_neighbour_block", counted)
+    assert key(similar.neighbors(df, k=3).collect()) == want
+    assert seen.value >= 100  # 12 blocks against 12, some of them empty
+
+
+def test_long_chains_stay_in_rounds(spark, monkeypatch):
+    """Each left but the first is refused once more than the one before: no group of pairs goes to one task."""
+    monkeypatch.setattr(DataFrameGroups, "applyInPandas", None)
+    n = 5
+    pairs = [(1, 1)] + [(k, j) for k in range(2, n + 1) for j in (k - 1, k)]
+    df = spark.createDataFrame([(a, a, 100 + b, b, 1.0) for a, b in pairs], "left_id long, left_pos long, right_id long, right_pos long, score double")
+    assert {r["left_id"]: r["right_id"] for r in link.one_to_one(df, rounds=2).collect()} == {k: 100 + k for k in range(1, n + 1)}
