@@ -194,3 +194,42 @@ def test_lm_mixture_has_no_floor(spark):
     unseen = [(i, "漢字" * n) for i, n in ((k, n) for k in range(1000, 1100) for n in [200 + 18 * (k - 1000)])]
     out = lm.score_texts(spark.createDataFrame(docs[:20] + unseen, "doc_id long, text string")).filter("held_out and doc_id >= 1000").orderBy("doc_id").collect()
     assert len(got) == 22 and len(out) > 3 and all(a["score"] - b["score"] > 10 for a, b in zip(out, out[1:])) and out[-1]["score"] < -600
+
+
+def test_lm_fits_on_every_document(spark, monkeypatch):
+    seen, given = [], []
+    added, fit = lm._added, lm._fit
+
+    def counted(rows, size):
+        total = added(rows, size)
+        if size != lm.OUT * lm.OWN:
+            seen.append(int(round(total[-1])))
+        return total
+
+    def fitted(outputs, group, counts):
+        given.append((outputs.count(), int(counts.sum()), sum(len(r["out"]) // 2 for r in outputs.collect())))
+        return fit(outputs, group, counts)
+
+    monkeypatch.setattr(lm, "_added", counted)
+    monkeypatch.setattr(lm, "_fit", fitted)
+    docs = spark.createDataFrame([(i, f"w{i} " * (i % 40)) for i in range(4000)], "doc_id long, text string")
+    n = lm.score_texts(docs, folds=4000, held_out=-1).count()
+    ((texts, pieces, told),) = given
+    assert n == texts == 4000 and pieces == told and len(seen) % lm.ROUNDS == 0 and sum(seen) == len(seen) // lm.ROUNDS * pieces
+
+
+@pytest.mark.parametrize("n", [1, 7, 8, 79 * 8 + 3])
+def test_lm_windows_take_all_of_a_text(n):
+    out = np.arange(n) % 5
+    inputs, starts = lm._layout(out, np.array([n]))
+    windows = inputs[starts[:, None] + np.arange(lm.SPAN + 1)]
+    aim = windows[:, lm.SPAN // 2 + 1 :]
+    assert aim[aim < lm.OUT].tolist() == out.tolist()
+    group = np.r_[np.arange(lm.OUT) % lm.CLASSES, 0]
+    make = lambda: lm._Adam(lm._fresh(np.full(lm.CLASSES, 1 / lm.CLASSES), np.random.default_rng(1)), group)
+    a, b = make(), make()
+    assert a.step(windows, 0.01) == n
+    group[-1] = 7  # the class of what is behind a text's end does not matter
+    b.group = group
+    b.step(windows, 0.01)
+    assert all(np.array_equal(a.net[k], b.net[k]) for k in a.net)
