@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 # Comments and elements without markup inside run to the end of the page if they are not closed. Elements that are no
 # text either are left out with all they hold if they are closed, and are met as tags of their own if not.
@@ -201,6 +202,6 @@ def main_texts(pages: DataFrame, page_id: str = "page_id", url: str = "url", pag
     other columns of pages are ignored."""
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), _host(url).alias("host"), F.col(page).alias("page"))
     known = rows.join(host_paths(pages, page, url), "host", "left").select("page_id", "url", "page", "path")
-    schema = f"page_id {known.schema['page_id'].dataType.simpleString()}, url string, main_text string"
+    schema = StructType([known.schema["page_id"], StructField("url", StringType()), StructField("main_text", StringType())])
     out = known.mapInArrow(_texts, schema)
     return out.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from folioloom.llm.labelled import fold_of, sample
 
@@ -140,10 +141,11 @@ def _scores(model: Model):
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Every row of docs as struct `row`, with score in 0 to 1. Null and empty texts get the score of the bias.
-    Columns of docs may have any names: they stay in `row`."""
+    """Every row of docs as struct `row`, with score in 0 to 1. Null and empty texts get the score of the bias; rows that
+    repeat are scored as often as they stand, equal texts alike; an empty table gives an empty table. Columns of docs
+    may have any names: they stay in `row`."""
     rows = docs.select(F.struct("*").alias("row"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(_scores(model), f"row {rows.schema['row'].dataType.simpleString()}, score double")
+    return rows.mapInArrow(_scores(model), StructType([rows.schema["row"], StructField("score", DoubleType())]))
 
 
 def held_out(doc_id: str, folds: int = 3, rest: int = 1):

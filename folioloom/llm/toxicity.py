@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from folioloom.llm.labelled import fold_of, sample
 
@@ -118,7 +119,14 @@ def features(text: str | None, automaton: ahocorasick.Automaton) -> tuple[float,
             at[begin] = max(w, at.get(begin, 0.0))
         else:
             free.append((begin, end))
-    total = sum(w for b, w in at.items() if not any(x <= b < y - 1 for x, y in free))
+    total, k, reach = 0.0, 0, -1
+    free.sort()
+    for b in sorted(at) if free else at:  # phrases and terms in order: reach is where the phrases met so far end
+        while k < len(free) and free[k][0] <= b:
+            reach = max(reach, free[k][1] - 1)
+            k += 1
+        if b >= reach:
+            total += at[b]
     if not total:
         return 0.0, 0.0
     return math.log1p(total), math.log1p(100 * total / max(20, len(folded.split())))
@@ -151,7 +159,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50)
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, label: str = "toxic", text: str = "text", doc_id: str = "doc_id", rows: int = FIT_ROWS) -> Model:
     """Learn from at most `rows` labelled documents that are not held out. Without labels of both kinds the seed
-    terms and fixed slopes remain."""
+    terms and fixed slopes remain, so also for empty tables. Null texts count as empty; of several labels of one id the
+    largest counts; a document that repeats counts as often as it stands; terms of equal weight are taken in order."""
     known = sample(docs, labels, label, folds, held_out, rows, text, doc_id)
     sizes = known.agg(F.coalesce(F.sum("label"), F.lit(0)).alias("toxic"), F.count("*").alias("all")).first()
     n_toxic, n_clean = sizes["toxic"], sizes["all"] - sizes["toxic"]
@@ -177,10 +186,11 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, l
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Every row of docs as struct `row`, with score in 0 to 1. Null and empty texts score as texts without hits.
-    Columns of docs may have any names: they stay in `row`."""
+    """Every row of docs as struct `row`, with score in 0 to 1. Null and empty texts score as texts without hits; rows
+    that repeat are scored as often as they stand, equal texts alike; an empty table gives an empty table. Columns of
+    docs may have any names: they stay in `row`."""
     rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, heavy double, dense double"
+    schema = StructType([rows.schema["row"], StructField("heavy", DoubleType()), StructField("dense", DoubleType())])
     found = rows.mapInArrow(_with_features(model.weights), schema)
     return found.select("row", (1 / (1 + F.exp(-(F.lit(model.bias) + model.slopes[0] * F.col("heavy") + model.slopes[1] * F.col("dense"))))).alias("score"))
 

@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -14,6 +15,34 @@ from pyspark.sql import functions as F
 from folioloom.llm import html_text, lm, quality, toxicity, transducer
 
 DATA = "/root/testdata/sf0.01"
+CLASH = "doc_id long, text string, `my col` string, `a.b` int, ids string, score int, label int, heavy string, k int"
+
+
+def clash(spark):
+    """Columns whose names are no words, or the names of columns that the operators make."""
+    return spark.createDataFrame([(1, "some text", "x", 1, "i", 2, 3, "h", 4), (2, None, None, None, None, None, None, None, None)], CLASH)
+
+
+def test_column_names(spark, tables):
+    df = clash(spark)
+    docs, labels = tables
+    for out in (transducer.encode(df, check=True), toxicity.score(df, toxicity.fit(docs.limit(0), labels.limit(0))), quality.score(df, quality.fit(docs.limit(0), labels.limit(0)))):
+        assert out.select("row.*").columns == df.columns and out.count() == 2
+    back = transducer.decode(transducer.encode(df).select("ids", F.col("row.my col").alias("my col")))
+    assert sorted(r["decoded"] for r in back.select("decoded").collect()) == ["", "some text"]
+    assert lm.score_texts(df).count() == 2
+    pages = spark.createDataFrame([(1, "http://h/x", "<p>text</p>", 1, 2)], "page_id int, url string, html string, `a.b` int, path int")
+    assert html_text.main_texts(pages).first()["text"] == "text"
+
+
+def test_toxicity_of_a_long_text():
+    model = toxicity.Model({" idiot ": 3.0})
+    auto = model.automaton()
+    began = time.time()
+    few, many = (toxicity.features("idiot proof idiot " * n, auto) for n in (100, 60_000))
+    assert time.time() - began < 5 and few[0] == pytest.approx(math.log1p(300)) and many[0] == pytest.approx(math.log1p(180_000))
+
+
 ODD = [(1, None), (2, ""), (None, "some words"), (3, "x" * 50_000), (4, "same text"), (4, "same text"), (5, "w " * 30_000)]
 
 
@@ -26,11 +55,12 @@ def tables(spark):
     return spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
 
 
-MACHINE = transducer.Machine(transducer.Vocabulary.load())
+VOCABULARY = transducer.Vocabulary.load()
+COMPOSER = transducer.Composer(transducer.compiled(VOCABULARY))
 
 
 def ids(text):
-    return np.frombuffer(MACHINE.encode(text), np.int32)
+    return np.frombuffer(COMPOSER.encode([text])[0], np.int32)
 
 
 @settings(max_examples=400, deadline=None)
@@ -42,21 +72,45 @@ def test_transducer_equals_the_library(text):
     if "_SP" not in globals():
         _SP = SentencePieceProcessor(model_file=transducer.MODEL_FILE)
     assert ids(text).tolist() == _SP.encode(text)
-    assert MACHINE.decode(ids(text)) == text.replace("▁", " ")
+    assert COMPOSER.decode(ids(text).tolist()) == text.replace("▁", " ")
+
+
+NUMBERS = {p: i for i, (p, k) in enumerate(zip(VOCABULARY.pieces, VOCABULARY.kinds)) if k == "n"}
+
+
+def merged(text):
+    return transducer.merge_steps(text, NUMBERS, VOCABULARY.scores)[-1][0]
 
 
 def test_path_is_what_merging_gives():
     rnd = random.Random(3)
-    for _ in range(300):
-        s = "▁" + "".join(rnd.choice("abcdeinrst") for _ in range(rnd.randrange(1, 15)))
-        assert [MACHINE.vocabulary.pieces[i] for i in MACHINE.shortest_path(s)] == MACHINE.merged(s)
+    words = ["".join(rnd.choice("abcdeinrst") for _ in range(rnd.randrange(1, 15))) for _ in range(300)]
+    for w, found in zip(words, COMPOSER.shortest_paths(words)):
+        assert [VOCABULARY.pieces[i] for i in np.frombuffer(found, np.int32)] == merged("▁" + w)
+
+
+def test_pair_acceptor_is_what_merging_gives():
+    rnd = random.Random(5)
+    some = [i for p, i in NUMBERS.items() if merged(p) == [p]]
+    a, b = (np.array([rnd.choice(some) for _ in range(3000)]) for _ in range(2))
+    want = [merged(VOCABULARY.pieces[x] + VOCABULARY.pieces[y]) == [VOCABULARY.pieces[x], VOCABULARY.pieces[y]] for x, y in zip(a, b)]
+    assert COMPOSER.survives(a, b).tolist() == want and 0 < sum(want) < 3000
+    assert COMPOSER.follows(a, b).tolist() == want == COMPOSER.follows(a, b).tolist()
+
+
+def test_table_of_numbers():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 40, 5000))
+    t = transducer.Table(keys, np.arange(len(keys), dtype=np.int32))
+    assert t.get(keys).tolist() == list(range(len(keys))) and (t.get(keys + (1 << 41)) == -1).all()
 
 
 def test_unigram_weights():
-    v = transducer.Vocabulary(("<unk>", "a", "b", "ab", "▁"), (0.0, -1.0, -1.0, -3.0, -0.5), "-nnnn", False, 0)
-    assert transducer.Machine(v).shortest_path("▁ab") == [4, 1, 2]
-    v = transducer.Vocabulary(("<unk>", "a", "b", "ab", "▁"), (0.0, -1.0, -1.0, -1.5, -0.5), "-nnnn", False, 0)
-    assert transducer.Machine(v).shortest_path("▁ab") == [4, 3]
+    def path(scores):
+        v = transducer.Vocabulary(("<unk>", "a", "b", "ab", "▁"), scores, "-nnnn", False, 0)
+        return np.frombuffer(transducer.Composer(transducer.compiled(v)).shortest_paths(["ab"])[0], np.int32).tolist()
+
+    assert path((0.0, -1.0, -1.0, -3.0, -0.5)) == [4, 1, 2] and path((0.0, -1.0, -1.0, -1.5, -0.5)) == [4, 3]
 
 
 def test_encode_and_decode_tables(spark):

@@ -1,8 +1,11 @@
 """op2, op3, op10 on small tables, against plain Python."""
 
+import collections
 import hashlib
 import random
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioloom.llm import line_dedup, mixing, syncmers
@@ -56,43 +59,60 @@ def test_odd_rows(spark):
 
 
 def _runs(texts, least):
-    """Plain line dedup: a gram of lines that stood before goes, and what is equal around it on the same diagonal."""
-    seen, out = {}, []
+    """Plain line dedup: the lines with words of each text, and those of them that lie in a run of equal lines of
+    `least` words or more that stands in an earlier text, or earlier in the same one."""
     docs = [[ln for ln in t.split("\n") if ln.split()] for t in texts]
+    out = []
     for d, lines in enumerate(docs):
-        gone, grams = set(), {}
-        for i in range(len(lines)):
-            j, n = i, 0
-            while j < len(lines) and n < least:
-                n, j = n + len(lines[j].split()), j + 1
-            if n >= least:
-                grams[i] = tuple(lines[i:j])
-        for i, g in grams.items():
-            if g in seen:
-                a, p = seen[g]
-                for step in (1, -1):
-                    x, y = i, p
-                    while 0 <= x < len(lines) and 0 <= y < len(docs[a]) and lines[x] == docs[a][y]:
-                        gone.add(x)
-                        x, y = x + step, y + step
-            else:
-                seen[g] = (d, i)
-        out.append([ln for i, ln in enumerate(lines) if i not in gone])
-    return out
-
-
-def test_line_dedup_against_plain_python(spark):
-    rnd = random.Random(4)
-    pool = [" ".join(rnd.choice("abcdefgh") for _ in range(rnd.choice([1, 2, 5, 9, 14]))) for _ in range(60)]
-    texts = ["\n".join(rnd.choice(pool) for _ in range(rnd.randrange(1, 9))) for _ in range(60)]
-    texts += texts[:3]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        gone = set()
+        for other in docs[: d + 1]:
+            for shift in range(1 - len(lines), 0 if other is lines else len(other)):
+                run = []
+                for i in range(len(lines) + 1):
+                    if i < len(lines) and 0 <= i + shift < len(other) and lines[i] == other[i + shift]:
+                        run.append(i)
+                    else:
+                        if sum(len(lines[x].split()) for x in run) >= least:
+                            gone.update(run)
+                        run = []
+        out.append(gone)
+    return docs, out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_line_dedup_against_plain_python(spark, seed):
+    rnd = random.Random(seed)
+    pool = [" ".join(rnd.choice("abcdefgh") for _ in range(rnd.choice([1, 1, 2, 3, 4, 5, 9, 14]))) for _ in range(25)]
+    texts = list(dict.fromkeys("\n".join(rnd.choice(pool) for _ in range(rnd.randrange(1, 14))) for _ in range(60)))
+    copies = [i for i in range(5) if len(texts[i].split()) >= 5]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(1000 + i, texts[i]) for i in copies], "doc_id long, text string").repartition(4)
+    (docs, may), (_, must) = _runs(texts, 5), _runs(texts, 8)
+    left = lambda **how: {r["doc_id"]: [x for x in r["clean"].split("\n") if x] for r in line_dedup.dedup_lines(df, **how).select("row.doc_id", "clean").collect()}
     # a window of one gram, where winnowing keeps all of them: the results are equal
-    got = {r["doc_id"]: [x for x in (r["clean"] or "").split("\n") if x.split()] for r in line_dedup.dedup_lines(df, min_words=5, guarantee=5).select("row.doc_id", "clean").collect()}
-    assert [got[i] for i in range(len(texts))] == _runs(texts, 5)
-    # wider windows: every repeated run from the guarantee on is found
-    got = {r["doc_id"]: r["clean"] for r in line_dedup.dedup_lines(df).select("row.doc_id", "clean").collect()}
-    assert all(got[60 + k] == "" or len(texts[k].split()) < 5 for k in range(3))
+    got = left(min_words=5, guarantee=5)
+    assert all(got[i] == [x for j, x in enumerate(docs[i]) if j not in may[i]] for i in range(len(texts)))
+    # as shipped: all runs of 8 words go, and nothing that lies in no run of 5
+    got = left()
+    count = collections.Counter
+    for i in range(len(texts)):
+        assert not count(got[i]) - count(x for j, x in enumerate(docs[i]) if j not in must[i])
+        assert not count(x for j, x in enumerate(docs[i]) if j not in may[i]) - count(got[i])
+    assert all(got[1000 + i] == [] for i in copies)
+
+
+def test_line_dedup_takes_every_earlier_text(spark):
+    for s in range(5):
+        p = [f"w{s}x{i}" for i in range(8)]
+        rows = list(enumerate(["\n".join(p[1:6]), "\n".join(p), "\n".join(p) + "\nown"]))
+        got = {r["doc_id"]: r["clean"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", "clean").collect()}
+        assert got[2] == "own"
+
+
+def test_line_dedup_of_equal_lines(spark):
+    rows = [(0, "some equal line of words\n" * 8000 + "end"), (1, "\n".join(["w"] * 8000)), (2, "a b c d e\n\nf\n\n"), (3, "a b c d e\n\nf\n\ng")]
+    began = time.time()
+    got = {r["doc_id"]: r["clean"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", "clean").collect()}
+    assert got == {0: "some equal line of words\nend", 1: "w", 2: rows[2][1], 3: "g"} and time.time() - began < 30
 
 
 def test_winnowing_guarantee(spark):
