@@ -16,7 +16,8 @@ TOXIC = 0.3
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents below the threshold of the toxicity score, which is learned from labelled documents."""
+    """Documents below the threshold of the toxicity score, which is learned from labelled documents. Null and empty
+    texts stay; rows that repeat stay or go together; an empty table stays empty."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).filter(F.col("score") < TOXIC).select("row.*")
 
@@ -43,13 +44,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources mixed to their target weights: documents as often as the mix takes them."""
+    """The sources mixed to their target weights: documents as often as the mix takes them. Texts without words are taken
+    no time; of rows that repeat an id each is taken by itself; an empty table stays empty."""
     return mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the ids of their pieces."""
-    return transducer.encode(docs).select("row.*", "ids")
+    """The documents with the ids of their pieces, in the place of a column `ids` if they have one. Null and empty texts
+    have none; rows that repeat are encoded each; an empty table stays empty."""
+    return transducer.encode(docs).select(*(F.col("row")[c].alias(c) for c in docs.columns if c != "ids"), "ids")
 
 
 STAGES = [("toxicity", reject_toxic), ("line dedup", drop_repeated_lines), ("n-gram Jaccard join", drop_near_copies), ("mixing sources to target weights", mix_sources), ("SentencePiece encoding", encode)]
@@ -59,6 +62,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each one's rows written and read again; see there for odd rows."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
