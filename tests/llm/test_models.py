@@ -171,29 +171,95 @@ def test_lm_base_and_probabilities(spark, tables):
         assert x["held_out"] == held(r["doc_id"]) and x["train_tokens"] == total and x["n_known"] == sum(count[w] > 0 for w in words)
         assert math.isclose(x["base_score"], sum(math.log10((count[w] + 1) / (total + v + 1)) for w in words), rel_tol=1e-9)
         assert x["score"] < 0
-    assert sum(x["score"] for x in got.values()) > 1.3 * sum(x["base_score"] for x in got.values())
     assert lm.score_texts(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_lm_beats_the_base_on_held_out_texts(spark, sf):
+    out = lm.score_texts(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).groupBy("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"))
+    assert all(r["s"] > r["b"] for r in out.collect())
+
+
+def model_of(net, group, starting, within=None):
+    pieces = np.arange(lm.OUT)
+    alone = np.full(lm.OUT, 1 / lm.OUT, np.float32)
+    share = np.log(1 / np.bincount(group, minlength=lm.CLASSES)[group])[None].repeat(lm.PREV + 1, 0) if within is None else within
+    starts = starting[group] > 0
+    return lm.Model(pieces, np.zeros(lm.OUT, np.float32), group, starting, share.astype(np.float32), net, alone, float(alone[starts].sum()), np.zeros(lm.OUT), np.zeros(lm.OUT)), starts
+
+
+def some_model(seed=1):
+    rng = np.random.default_rng(seed)
+    group = np.r_[np.arange(lm.CLASSES), rng.integers(0, lm.CLASSES, lm.OUT - lm.CLASSES)]
+    starting = (np.arange(lm.CLASSES) % 2 == 0).astype(np.float32)
+    net = {n: w + rng.normal(0, 0.3, w.shape).astype(np.float32) for n, w in lm._fresh(np.full(lm.CLASSES, 1 / lm.CLASSES), rng).items()}
+    return model_of(net, group, starting)
+
+
+def test_lm_is_a_distribution():
+    """After any text the next pieces' probabilities sum to 1, and the spellings of all words of one or two pieces to
+    what is left when longer words are left out."""
+    model, starts = some_model()
+    text = np.array([0, 5, 9, 200, 31, 4, 7, 7, 90, 12, 3])
+
+    def after(prefix, pieces, before):
+        """Probabilities of each of pieces behind the prefix, and of any starting piece."""
+        out = np.stack([np.r_[prefix, p] for p in pieces]).ravel()
+        n = np.full(len(pieces), len(prefix) + 1)
+        piece, start = lm.probabilities(model, out, out, np.full(len(out), before), n)
+        last = np.cumsum(n) - 1
+        return piece[last].astype(float), start[last].astype(float)
+
+    every = np.arange(lm.OUT)
+    for n in (1, 3, 8, 11):
+        p, start = after(text[:n], every, lm.PREV)
+        assert abs(p.sum() - 1) < 1e-3 and np.allclose(start, p[starts].sum(), atol=1e-4)
+    # a word of one piece: its piece among starting ones, then a starting piece; of two pieces: one more that is none
+    first = np.flatnonzero(starts)[:40]
+    p, start = after(text, first, lm.PREV)
+    total = 0.0
+    for f, q in zip(first, p / start):
+        inner, ends = after(np.r_[text, f], every, lm.PREV)
+        assert abs(inner[~starts].sum() + ends[0] - 1) < 1e-3  # the word ends or goes on
+        total += q * (ends[0] + inner[~starts].sum())
+    assert total <= 1.001 and abs(total - (p / start).sum()) < 1e-3
+    # the parts of a word's probability are what spelled_words makes of them
+    out = np.array([0, 1, 3, 2, 0])
+    piece, start = lm.probabilities(model, out, out, np.full(5, lm.PREV), np.array([5]))
+    begun, rest = lm.spelled_words(piece, start, np.array([3, 1, 1]), np.array([False, False, True]))
+    want = [math.log10(piece[1] * piece[2] * start[3]), math.log10(start[4]), 0.0]
+    assert rest == pytest.approx(want, abs=1e-5) and begun == pytest.approx([math.log10(piece[i] / start[i]) for i in (0, 3, 4)], abs=1e-5)
+
+
+def test_lm_recall_of_the_texts_own_words():
+    rnd = random.Random(2)
+    texts = [[rnd.randrange(6) for _ in range(rnd.randrange(1, 30))] for _ in range(20)]
+    own, weight = lm._recalled(np.array([w for t in texts for w in t]), np.array([len(t) for t in texts]))
+    want = [(t[:i].count(w) / max(1, i), lm.RECALL * i / (i + lm.HALF_RECALL)) for t in texts for i, w in enumerate(t)]
+    assert own == pytest.approx([a for a, _ in want]) and weight == pytest.approx([b for _, b in want])
+
+
 def test_attention_learns_and_sums_to_one():
     rng = np.random.default_rng(1)
     group = np.r_[np.arange(lm.CLASSES), np.zeros(lm.OUT - lm.CLASSES, int), 0]
     start = rng.integers(0, 8, (2000, 1))
     windows = (start + np.arange(lm.SPAN + 1)) % 8  # the next piece follows from the last
-    net = lm.train(windows, group, epochs=10)
+    net = lm.train(windows, group, epochs=20)
     p = lm._softmax(lm._forward(net, windows[:50, : lm.SPAN])[-1])
     assert np.allclose(p.sum(-1), 1, atol=1e-4)
     assert np.take_along_axis(p, windows[:50, lm.SPAN // 2 + 1 :, None], -1).mean() > 0.9
-    # scoring in windows gives what the forward pass gives
-    model = lm.Model(np.zeros(1, int), np.zeros(lm.OUT, np.float32), group[:-1], np.zeros((lm.PREV + 1, lm.OUT), np.float32), net)
-    out = np.arange(30) % 8
-    got = lm.log_probabilities(model, out, out, np.zeros(30, int), np.array([30]))
-    inputs = np.r_[np.full(lm.SPAN // 2 + 1, lm.OUT), out]
+
+
+def test_lm_scores_in_windows_what_the_forward_pass_gives():
+    model, _ = some_model(3)
+    out = np.random.default_rng(4).integers(0, lm.CLASSES, 30)
+    got, _ = lm.probabilities(model, out, out, np.full(30, lm.PREV), np.array([30]))
+    inputs = np.r_[np.full(lm.SPAN // 2 + 1, lm.OUT), out, np.full(20, lm.OUT)]
     for i in range(30):
         s = i // (lm.SPAN // 2) * (lm.SPAN // 2)
-        w = np.r_[inputs, np.full(20, lm.OUT)][s : s + lm.SPAN][None]
-        want = np.log10(lm._softmax(lm._forward(net, w)[-1])[0, i - s, out[i]])
-        assert abs(got[i] - want) < 1e-3
+        p = lm._softmax(lm._forward(model.net, inputs[s : s + lm.SPAN][None])[-1])[0, i - s, model.group[out[i]]]
+        want = (1 - lm.ALONE) * p * np.exp(model.within[lm.PREV, out[i]]) + lm.ALONE / lm.OUT
+        assert got[i] == pytest.approx(want, rel=1e-3)
 
 
 PAGE = """<html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body><nav><a href="/">Home</a></nav><div class="ad">Buy now</div>
@@ -238,38 +304,32 @@ def test_html_elements_that_are_not_closed():
 
 
 def test_lm_mixture_has_no_floor(spark):
-    c, spelled = np.array([0, 0, 3, 3, 3.0]), np.array([-2.0, -5000.0, -2.0, -5000.0, -1e-3])
-    want = [math.log10(0.5) - 2, math.log10(0.5) - 5000, math.log10(0.5 * 3 / 100 + 0.5 * 1e-2), math.log10(0.5 * 3 / 100), math.log10(0.5 * 3 / 100 + 0.5 * 10**-1e-3)]
-    assert lm._mixed(c, 100, spelled) == pytest.approx(want)
-    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(c, spelled))], "i int, c double, s double")
-    assert [r[0] for r in df.orderBy("i").select(lm._mixed_column(F.col("c"), 100, F.col("s"))).collect()] == pytest.approx(want)
-    docs = [(i, "some plain words of a text") for i in range(20)] + [(100 + n, "漢字" * n) for n in (200, 2000)]
-    got = {r["doc_id"]: r["score"] for r in lm.score_texts(spark.createDataFrame(docs, "doc_id long, text string"), held_out=8, folds=9).collect()}
-    unseen = [(i, "漢字" * n) for i, n in ((k, n) for k in range(1000, 1100) for n in [200 + 18 * (k - 1000)])]
-    out = lm.score_texts(spark.createDataFrame(docs[:20] + unseen, "doc_id long, text string")).filter("held_out and doc_id >= 1000").orderBy("doc_id").collect()
-    assert len(got) == 22 and len(out) > 3 and all(a["score"] - b["score"] > 10 for a, b in zip(out, out[1:])) and out[-1]["score"] < -600
-
-
-def test_lm_fits_on_every_document(spark, monkeypatch):
-    seen, given = [], []
-    added, fit = lm._added, lm._fit
+    c, share, rest = np.array([0, 0, 3, 3, 3.0]), np.full(5, math.log10(0.5 / 100)), np.array([-2.0, -5000.0, -2.0, -5000.0, -1e-3])
+    want = [-2, -5000, math.log10(0.5 * 3 / 100 + 1e-2), math.log10(0.5 * 3 / 100), math.log10(0.5 * 3 / 100 + 10**-1e-3)]
+    assert lm._mixed(c, share, rest) == pytest.approx(want)
+    df = spark.createDataFrame([(i, float(a), float(b), float(x)) for i, (a, b, x) in enumerate(zip(c, share, rest))], "i int, c double, s double, r double")
+    assert [r[0] for r in df.orderBy("i").select(lm._mixed_column(F.col("c"), F.col("s"), F.col("r"))).collect()] == pytest.approx(want)
+    docs = [(i, "some plain words of a text") for i in range(20)] + [(1000 + n, "漢字" * (200 + 18 * n)) for n in range(100)]
+    out = lm.score_texts(spark.createDataFrame(docs, "doc_id long, text string")).filter("held_out and doc_id >= 1000").orderBy("doc_id").collect()
+    assert len(out) > 3 and all(a["score"] - b["score"] > 10 for a, b in zip(out, out[1:])) and out[-1]["score"] < -600
+
+
+def test_lm_learns_from_a_share_of_all_windows(spark, monkeypatch):
+    """One window in SHARE of every stretch of the corpus, long texts and their ends included, in each pass."""
+    seen, added = [], lm._added
 
     def counted(rows, size):
         total = added(rows, size)
         if size != lm.OUT * lm.OWN:
-            seen.append(int(round(total[-1])))
+            seen.append(total[-1])
         return total
 
-    def fitted(outputs, group, counts):
-        given.append((outputs.count(), int(counts.sum()), sum(len(r["out"]) // 2 for r in outputs.collect())))
-        return fit(outputs, group, counts)
-
     monkeypatch.setattr(lm, "_added", counted)
-    monkeypatch.setattr(lm, "_fit", fitted)
-    docs = spark.createDataFrame([(i, f"w{i} " * (i % 40)) for i in range(4000)], "doc_id long, text string")
-    n = lm.score_texts(docs, folds=4000, held_out=-1).count()
-    ((texts, pieces, told),) = given
-    assert n == texts == 4000 and pieces == told and len(seen) % lm.ROUNDS == 0 and sum(seen) == len(seen) // lm.ROUNDS * pieces
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 7919 + k * 31) % 9973}" for k in range(i % 40))) for i in range(4000)] + [(9000, " ".join(f"x{k}" for k in range(50_000)))], "doc_id long, text string")
+    lm.score_texts(docs, folds=9001, held_out=-1).count()
+    passes = len(seen) // lm.ROUNDS
+    pieces = sum(len(lm.Speller(open(lm.MODEL_FILE, "rb").read()).sp.encode(r["text"])) + 1 for r in docs.collect())
+    assert len(seen) % lm.ROUNDS == 0 and sum(seen) / passes == pytest.approx(pieces / lm.SHARE, rel=0.05)
 
 
 @pytest.mark.parametrize("n", [1, 7, 8, 79 * 8 + 3])

@@ -35,11 +35,14 @@ def test_stages(spark):
 def test_odd_rows(spark):
     rows = [(1, "same text of six words here", "s", 5, "x"), (1, "same text of six words here", "s", 5, "x"), (2, None, None, None, None), (None, "", "s", 0, ""), (3, "you idiot moron scum", "t", 20, "y"), (None, "no id but some words in it", None, 1, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, row string")
+    docs = docs.withColumns({"my col": F.lit(1), "a.b": F.lit("x"), "k": F.lit(None).cast("string"), "sig": F.lit(2), "ids": F.lit("i")})
     for frame in (docs, docs.limit(0)):
         out = frame
         for _, stage in c.STAGES[:-1]:
             out = staged(stage(spark, out, DATA), "odd")
             assert out.columns == docs.columns
+        last = staged(c.encode(spark, out, DATA), "odd")
+        assert sorted(last.columns) == sorted(docs.columns) and last.count() == out.count()
     kept = c.drop_near_copies(spark, docs, DATA)
     assert kept.filter("doc_id = 1").count() == 1 and kept.count() == len(rows) - 1
 
