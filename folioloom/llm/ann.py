@@ -3,7 +3,7 @@
 Trees are grown on a bounded sample of the vectors: each inner node splits along a random direction at the median
 of its rows. Every vector of the table is then sent down every tree, and Spark counts the rows of each leaf. A
 query walks all trees at once through one priority queue, nearest boundary first, until the leaves it has reached
-hold `share` of all rows, counted over all trees. Leaves meet their queries in blocks of bounded size, which
+hold PROBE * n ** 0.75 rows of n, counted over all trees, so a query's work grows slower than the table. Leaves meet their queries in blocks of bounded size, which
 compute exact cosines and hand on the best of each block; the best of all blocks are the result.
 
 Equal vectors are one row of the index with their k + 1 smallest ids, so large groups of copies cost nothing.
@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from folioloom.llm.common import staged
 
-#: Rows that the trees are grown on, rows of the sample in a leaf, trees, share of all rows to search, rows in a block.
-FIT_ROWS, LEAF, TREES, SHARE, BLOCK = 20_000, 256, 8, 1.25, 4096
+#: Rows that the trees are grown on, and how many of them a leaf must have; rows of the table that a leaf is to have
+#: (more, once the sample allows no deeper trees); trees; what is searched (see above); rows in a block.
+FIT_ROWS, LEAST, LEAF, TREES, PROBE, BLOCK = 32_768, 8, 128, 32, 5.5, 4096
 
 
 @dataclass(frozen=True)
@@ -63,9 +64,10 @@ class Forest:
         return out
 
 
-def grow(x: np.ndarray, trees: int = TREES, leaf: int = LEAF, seed: int = 3) -> Forest:
+def grow(x: np.ndarray, trees: int = TREES, leaf: int = LEAF, rows: int | None = None, seed: int = 3) -> Forest:
+    """Trees on the sample x of a table of so many rows."""
     rng = np.random.default_rng(seed)
-    depth = max(0, int(np.floor(np.log2(max(1, len(x)) / leaf))))
+    depth = max(0, int(np.floor(np.log2(max(1, min((rows or len(x)) / leaf, len(x) / LEAST))))))
     normals, cuts = np.zeros((trees, max(1, 2**depth - 1), x.shape[1])), np.zeros((trees, max(1, 2**depth - 1)))
     for t in range(trees):
         parts = [np.arange(len(x))]
@@ -88,6 +90,8 @@ def _rows(batch: pa.RecordBatch, column: str) -> np.ndarray:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled by their largest component first, whose square may be no double."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -137,7 +141,7 @@ def usable(v: Column) -> Column:
     return v.isNotNull() & (F.size(v) > 0) & ~bad & F.exists(v, lambda x: x != 0)
 
 
-def neighbours(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", trees: int = TREES, share: float = SHARE, fit_rows: int = FIT_ROWS, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
+def neighbours(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", trees: int = TREES, probe: float = PROBE, fit_rows: int = FIT_ROWS, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row of vectors that is_query holds for, its k nearest rows
     found by cosine, in double precision; equal scores by smaller id; all rows if there are fewer than k.
 
@@ -145,7 +149,9 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "
     those of the most frequent length (the largest of equals) take part. Rows equal in id and vector are one row.
     A query never finds rows with its own id. An empty table gives an empty result. Other columns are ignored.
     """
-    v = F.transform(F.col(embedding), lambda x: x.cast("double"))
+    single = vectors.select(F.col(embedding)).dtypes[0][1] == "array<float>"  # half the bytes to shuffle; cosines are doubles
+    kind = "array<float>" if single else "array<double>"
+    v = F.col(embedding).cast(kind)
     base = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v"), is_query.alias("asks")).filter(F.col("vec_id").isNotNull()).filter(usable(F.col("v")))
     dims = base.groupBy(F.size("v").alias("dim")).count().orderBy(F.col("count").desc(), F.col("dim").desc()).first()
     schema = "query_id long, rank int, vec_id long, score double"
@@ -158,17 +164,18 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "
     classes = few.groupBy("v").agg(F.min("vec_id").alias("class_id"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
     fit = base.select("v", F.xxhash64("v").alias("h")).distinct().orderBy("h").limit(fit_rows).select("v").toPandas()
-    forest = grow(_unit(np.stack(fit["v"].to_numpy()).astype(np.float64)), trees, leaf)
+    n = classes.count()
+    forest = grow(_unit(np.stack(fit["v"].to_numpy()).astype(np.float64)), trees, leaf, n)
     n_leaves = 2**forest.depth
-    columns = "class_id long, ids array<bigint>, v array<double>"
+    columns = f"class_id long, ids array<bigint>, v {kind}"
     index = staged(classes.select("class_id", "ids", "v").mapInArrow(_route(forest), f"{columns}, leaves array<int>"), "leaves")
     member = index.select("class_id", "v", F.posexplode("leaves").alias("tree", "leaf"))
     sizes = np.zeros((trees, n_leaves))
     for r in index.select(F.posexplode("leaves").alias("tree", "leaf")).groupBy("tree", "leaf").count().collect():
         sizes[r["tree"], r["leaf"]] = r["count"]
     queries = base.filter("asks").select(F.col("vec_id").alias("query_id"), "v")
-    wanted = share * sizes[0].sum()
-    probes = staged(queries.mapInArrow(_probes(forest, sizes, wanted), "query_id long, v array<double>, tree int, leaf int"), "probes")
+    wanted = probe * n**0.75
+    probes = staged(queries.mapInArrow(_probes(forest, sizes, wanted), f"query_id long, v {kind}, tree int, leaf int"), "probes")
 
     # each leaf's rows and queries are dealt into blocks; every block of rows meets every block of queries
     def parts(df: DataFrame, name: str) -> DataFrame:
