@@ -7,19 +7,25 @@ from pyspark.sql import functions as F
 
 from folioloom.functions.text import blurb, index_tokens, search_blob, search_normalize, stable_id
 from folioloom.operators import link
+from folioloom.operators.staging import written
 
 
-def catalog_position(works: DataFrame, slices: int = 32) -> DataFrame:
-    """works with pos, from 1 by falling rating (null as 0), lower-cased title and id. Ranges are sorted each by
-    itself; only their row counts meet in one task."""
-    order = [F.coalesce("aggregate_rating", F.lit(0.0)).desc(), F.lower("title"), F.col("work_id")]
-    ranged = works.repartitionByRange(slices, *order).withColumn("slice", F.spark_partition_id())
+def places(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """rows with pos, from 1 in order. Ranges are written once and sorted each by itself, as many as Spark shuffles
+    into; only their row counts meet in one task."""
+    slices = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(rows.repartitionByRange(slices, *order).withColumn("slice", F.spark_partition_id()), "ranged")
     inside = ranged.withColumn("n", F.row_number().over(Window.partitionBy("slice").orderBy(*order)))
     above = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranged.groupBy("slice").agg(F.count("*").alias("rows")).select("slice", F.coalesce(F.sum("rows").over(above), F.lit(0)).alias("offset"))
     return inside.join(F.broadcast(offsets), "slice").withColumn("pos", F.col("n") + F.col("offset")).drop("slice", "n", "offset")  # one row a slice
 
 
+def catalog_position(works: DataFrame) -> DataFrame:
+    """works with pos, from 1 by falling rating (null as 0), lower-cased title and id."""
+    return places(works, [F.coalesce("aggregate_rating", F.lit(0.0)).desc(), F.lower("title"), F.col("work_id")])
+
+
 def token_hits(works: DataFrame) -> DataFrame:
     """token, pos: the inverted index."""
     blob = search_normalize(search_blob(F.col("title"), F.col("authors"), F.col("genres")))

@@ -6,14 +6,12 @@ run only on pairs that share an author key and have titles long enough to be nea
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioloom.functions import fuzzy
 from folioloom.functions.text import normalize_authors, normalize_title
+from folioloom.operators.staging import written
 
 THRESHOLD, EXACT, STRONG_TOKEN = 0.98, 0.995, 5
 
@@ -96,7 +94,7 @@ def one_to_one(pairs: DataFrame, rounds: int = 12) -> DataFrame:
     k-th right. The rest is settled by deferred acceptance: each left proposes to its best right that has not refused
     it, each right keeps its earliest left, until nobody is refused. Both give the sequential result.
     """
-    pairs = pairs.filter(F.col("score") >= THRESHOLD)
+    pairs = written(pairs.filter(F.col("score") >= THRESHOLD), "pairs")  # read by every step below
     sets = pairs.groupBy("left_id", "left_pos").agg(F.array_sort(F.collect_set(F.struct("right_pos", "right_id", "score"))).alias("choices"))
     block = sets.select("left_id", "left_pos", "choices", F.xxhash64(F.to_json("choices")).alias("block"))
     degree = pairs.groupBy("right_id").agg(F.count_distinct("left_id").alias("asked"))
@@ -107,41 +105,25 @@ def one_to_one(pairs: DataFrame, rounds: int = 12) -> DataFrame:
     lefts = one.filter("tied").select("block", "left_id", "left_pos").distinct().withColumn("k", F.row_number().over(Window.partitionBy("block").orderBy("left_pos", "left_id")))
     rights = one.filter("tied").select("block", "right_id", "right_pos", "score").distinct().withColumn("k", F.row_number().over(Window.partitionBy("block").orderBy("right_pos", "right_id")))
     settled = lefts.join(rights, ["block", "k"]).select("left_id", "right_id", "score")
-    open_ = one.filter(~F.col("tied")).select("left_id", "left_pos", "right_id", "right_pos", "score")
+    open_ = written(one.filter(~F.col("tied")).select("left_id", "left_pos", "right_id", "right_pos", "score"), "open")
     return settled.unionByName(_deferred(open_, rounds))
 
 
 def _deferred(pairs: DataFrame, rounds: int) -> DataFrame:
-    """Rounds until nobody is refused. After every `rounds` rounds what is left is written and read again, so that
-    plans stay short; a chain of refusals takes as many rounds as it is long."""
+    """Rounds until nobody is refused, each round's proposals written once; after every `rounds` rounds what is left is
+    written too, so that plans stay short. A chain of refusals takes as many rounds as it is long."""
     asks = Window.partitionBy("left_id").orderBy(F.col("score").desc(), "right_pos", "right_id")
     takes = Window.partitionBy("right_id").orderBy("left_pos", "left_id")
     alive, done = pairs, 0
-    held: list[DataFrame] = []
     while True:
-        best = alive.withColumn("n", F.row_number().over(asks)).filter("n = 1").withColumn("m", F.row_number().over(takes)).persist()
+        first = alive.withColumn("n", F.row_number().over(asks)).filter("n = 1")
+        best = written(first.withColumn("m", F.row_number().over(takes)), "best")
         refused = best.filter("m > 1").select("left_id", "right_id")
         if refused.isEmpty():
             return best.select("left_id", "right_id", "score")
-        held.append(best)
         alive, done = alive.join(refused, ["left_id", "right_id"], "left_anti"), done + 1
         if done % rounds == 0:
-            alive = _written(alive)
-            for df in held:
-                df.unpersist()
-            held.clear()
-
-
-def _written(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that driver and executors share."""
-    spark = df.sparkSession
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(path)
-    path = f"{path.rstrip('/')}/pairs-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+            alive = written(alive, "pairs")
 
 
 def match_report(left: DataFrame, right: DataFrame, links: DataFrame) -> DataFrame:

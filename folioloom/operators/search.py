@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioloom.functions import fuzzy
 from folioloom.functions.text import search_normalize, stem, tokenize
+from folioloom.operators.catalog import places
 
 LEAST_TEXT, LEAST_GENRE = 0.55, 0.5
 
@@ -139,3 +140,25 @@ def prefer_sources(works: DataFrame, limit: int | None = None) -> DataFrame:
     rank = F.when(F.length(F.coalesce("description", F.lit(""))) >= 120, 0).when(F.col("local_text"), 1).otherwise(2)
     out = works.withColumn("preference", rank).orderBy("preference", F.col("aggregate_rating").desc_nulls_last(), F.lower("title"), "work_id")
     return out.limit(limit) if limit else out
+
+
+def list_ids(works: DataFrame, limit: int | None = None) -> DataFrame:
+    """Ids by falling rating, null last, then title and id."""
+    out = works.orderBy(F.col("aggregate_rating").desc_nulls_last(), F.lower("title"), "work_id").select("work_id")
+    return out.limit(limit) if limit else out
+
+
+def expanded_order(works: DataFrame) -> DataFrame:
+    """Works with their place in the expanded catalog: rated ones first, of these those with a description of 120
+    characters first, then by falling rating, title and id. Places come from ranges that are sorted each by itself."""
+    short = F.length(F.coalesce("description", F.lit(""))) < 120
+    order = [F.col("aggregate_rating").isNull(), short, F.col("aggregate_rating").desc_nulls_last(), F.lower("title"), F.col("work_id")]
+    return places(works, order).withColumnRenamed("pos", "place")
+
+
+def top_of_genre(works: DataFrame, genre_works: DataFrame, asked: DataFrame, limit: int = 50) -> DataFrame:
+    """asked(genre, q) -> genre, q, rank, work_id: the first works in catalog order of a genre whose title holds q."""
+    hits = genre_works.join(asked.withColumn("genre_lower", F.lower("genre")).drop("genre"), "genre_lower").select(F.col("genre_lower").alias("genre"), "q", "pos").distinct()
+    rows = hits.join(works.select("pos", "work_id", "title"), "pos").filter(F.lower("title").contains(F.lower("q")))
+    rank = F.row_number().over(Window.partitionBy("genre", "q").orderBy("pos"))
+    return rows.withColumn("rank", rank).filter(F.col("rank") <= limit).select("genre", "q", "rank", "work_id")

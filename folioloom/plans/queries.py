@@ -116,9 +116,9 @@ def catalog_position(spark, d):
 _STOPS = ", ".join(f"'{w}'" for w in text.TITLE_STOP_WORDS)
 
 
-@query(f"WITH f AS (SELECT doc_id, {FOLD.format('substring(text, 1, 60)')} AS folded FROM documents), t AS (SELECT *, array_to_string(list_filter(string_split(regexp_replace(folded, '^(?:{'|'.join(text.SERIES_PREFIXES)}) +', ''), ' '), lambda x: x <> '' AND x NOT IN ({_STOPS}) AND NOT regexp_full_match(x, '\\p{{Nd}}+')), ' ') AS kept FROM f) SELECT doc_id, folded, CASE WHEN kept = '' THEN folded ELSE kept END AS normal FROM t")
+@query(f"WITH f AS (SELECT doc_id, {FOLD.format('text')} AS folded FROM documents), t AS (SELECT *, array_to_string(list_filter(string_split(regexp_replace(folded, '^(?:{'|'.join(text.SERIES_PREFIXES)}) +', ''), ' '), lambda x: x <> '' AND x NOT IN ({_STOPS}) AND NOT regexp_full_match(x, '\\p{{Nd}}+')), ' ') AS kept FROM f) SELECT doc_id, folded, CASE WHEN kept = '' THEN folded ELSE kept END AS normal FROM t")
 def normalize_title(spark, d):
-    t = F.substring("text", 1, 60)
+    t = F.col("text")
     return table(spark, d, "documents").select("doc_id", text.fold(t).alias("folded"), text.normalize_title(t).alias("normal"))
 
 
@@ -305,8 +305,11 @@ def repair_links(spark, d):
 
 @query()
 def link_long_titles(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"), F.substring("text", 1, 60).alias("title"), F.array(F.concat(F.lit("Author "), "source")).alias("authors"))
-    return link.candidates(docs.filter("id % 2 = 0"), docs.filter("id % 2 = 1")).select("left_id", "right_id", F.round("score", 4).alias("score"))
+    """Titles of pages, where near-equal ones are linked by ratio; the author is the host."""
+    title = extract.text_of(F.regexp_extract("html", r"(?s)<h1[^>]*>(.*?)</h1>", 1))
+    host = F.regexp_extract("url", r"://([^/]+)", 1)
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("page_id").alias("pos"), title.alias("title"), F.array(host).alias("authors"))
+    return link.candidates(pages.filter("id % 2 = 0"), pages.filter("id % 2 = 1")).select("left_id", "right_id", F.round("score", 4).alias("score"))
 
 
 # Reviews
@@ -406,11 +409,11 @@ def derive_tropes(spark, d):
     return fx.profiles(spark, d).select("work_id", F.array_join(profile.derive_tropes(F.lit("")), "|").alias("tropes"))
 
 
-@query("WITH n AS (SELECT doc_id % 50 AS w, count(*) AS n FROM documents WHERE length(text) >= 25 GROUP BY 1) SELECT doc_id, coalesce(length(trim(text)) >= 400 OR length(trim(substring(text, 1, 200))) >= 120 AND n >= 1 OR length(trim(substring(text, 1, 200))) >= 220 OR n >= 3, false) AS usable FROM documents LEFT JOIN n ON w = doc_id % 1000")
+@query("WITH n AS (SELECT doc_id % 50 AS w, count(*) AS n FROM documents WHERE length(text) >= 25 GROUP BY 1) SELECT doc_id, coalesce(length(trim(text)) >= 400 OR length(trim(lang || source || text)) >= 120 AND n >= 1 OR length(trim(lang || source || text)) >= 220 OR n >= 3, false) AS usable FROM documents LEFT JOIN n ON w = doc_id % 1000")
 def usable_source(spark, d):
     n = fx.reviews(spark, d).groupBy(F.col("work_id").alias("w")).agg(F.count("*").alias("n"))
     docs = table(spark, d, "documents").join(n, F.col("w") == F.col("doc_id") % 1000, "left")
-    return docs.select("doc_id", profile.usable_source(F.substring("text", 1, 200), F.coalesce("n", F.lit(0)), F.col("text")).alias("usable"))
+    return docs.select("doc_id", profile.usable_source(F.concat("lang", "source", "text"), F.coalesce("n", F.lit(0)), F.col("text")).alias("usable"))
 
 
 @query(f"WITH {PROFILES} SELECT theme, count(*) AS count FROM (SELECT unnest(themes) AS theme FROM profiles) GROUP BY theme ORDER BY count DESC, theme LIMIT 20")
@@ -423,17 +426,6 @@ def profile_stats(spark, d):
     return jobs.profile_stats(fx.profiles(spark, d).withColumn("summary", F.array_join("themes", " ")))
 
 
-@query()
-def enriched_profiles(spark, d):
-    prompts = table(spark, d, "documents").select(F.col("doc_id").alias("work_id"), F.substring("text", 1, 2000).alias("prompt"))
-    return jobs.enrich(prompts, _stub_answers).select("work_id", "status", F.array_join("tropes", "|").alias("tropes"), F.element_at("axes", "pace").alias("pace"))
-
-
-def _stub_answers(prompts: list[str]) -> list[str]:
-    """Stands for a model: answers made from the prompt's length, every seventh without a profile."""
-    return [f'So: ```json\n{{"axes": {{"pace": {len(p) % 14}}}, "tropes": ["quest", "Война", "x"], "summary": "s"}}\n```' if len(p) % 7 else "no idea" for p in prompts]
-
-
 # Pages
 @query("SELECT page_id, length(html) >= 3000 AND NOT regexp_matches(lower(html), 'captcha|access denied|ddos-guard|checking your browser') AS valid FROM pages")
 def valid_page(spark, d):
