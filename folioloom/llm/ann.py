@@ -25,7 +25,7 @@ from folioloom.llm.common import staged
 
 #: Rows that the trees are grown on, and how many of them a leaf must have; rows of the table that a leaf is to have
 #: (more, once the sample allows no deeper trees); trees; what is searched (see above); rows in a block.
-FIT_ROWS, LEAST, LEAF, TREES, PROBE, BLOCK = 32_768, 8, 128, 32, 5.5, 4096
+FIT_ROWS, LEAST, LEAF, TREES, PROBE, BLOCK = 32_768, 8, 256, 24, 6.5, 4096
 
 
 @dataclass(frozen=True)
