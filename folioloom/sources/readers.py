@@ -29,7 +29,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """A folder of saved pages: page_id (the file's stem), html with undecodable bytes replaced, bytes."""
     files = spark.read.format("binaryFile").load(path)
     stem = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]+)?$", 1)
-    return files.select(stem.alias("page_id"), F.decode("content", F.lit("UTF-8")).alias("html"), F.col("length").alias("bytes"))
+    return files.select(stem.alias("page_id"), F.make_valid_utf8(F.col("content").cast("string")).alias("html"), F.col("length").alias("bytes"))
 
 
 def read_profiles(spark: SparkSession, path: str, schema: str) -> DataFrame:
