@@ -48,8 +48,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     return one.select("src", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: int = 7, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """Every row of docs as struct `row`, with size, source_size, target, taken and copies.
+def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: int = 7, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """Every row of docs (of it the columns `keep`, if given: others are not shuffled) as struct `row`, with size, source_size, target, taken and copies.
 
     taken: the words of the document that the mix takes, repeats counted; one document of each source may be
     taken in part, so that the source's words meet its target. copies: whole copies, where a part of half a
@@ -58,7 +58,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     their sizes. An empty table gives an empty table. Columns of docs may have any names: they stay in `row`.
     """
     src = F.col(source)
-    base = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), src.alias("src"), F.when(src.isNull(), "-").otherwise(F.concat(F.lit("+"), src)).alias("name"), n_words(F.col(text)).alias("size"), F.pow(uniform(F.col(doc_id), seed), 1.0 / quality_weight(F.col(text))).alias("key"))
+    base = docs.select(F.struct(*(keep or "*")).alias("row"), F.col(doc_id).alias("id"), src.alias("src"), F.when(src.isNull(), "-").otherwise(F.concat(F.lit("+"), src)).alias("name"), n_words(F.col(text)).alias("size"), F.pow(uniform(F.col(doc_id), seed), 1.0 / quality_weight(F.col(text))).alias("key"))
     base = base.withColumn("bucket", F.least(F.floor((1.0 - F.col("key")) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
     sums = base.groupBy("name", "bucket").agg(F.sum("size").alias("words"), F.first("src").alias("src"))
     per_source = sums.groupBy("name").agg(F.sum("words").alias("source_size"), F.first("src").alias("src"))

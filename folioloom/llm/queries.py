@@ -18,7 +18,7 @@ def op1_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep=("doc_id", "source"))
     return out.select("row.doc_id", "size", "source_size", "target", "taken", "row.source", "copies")
 
 
