@@ -3,7 +3,7 @@
 Every page is parsed into blocks. Its containers are scored by the text that they hold, and each page votes with
 these scores on the generalised tag-class paths of its containers; Spark adds the votes up for each host. Then
 every page is extracted again from the containers on its host's winning path. A page without that path, or with
-no text there, uses its own best container. Where nothing is left but noise, the noise counts as text.
+no text there, uses the containers on its own best path. Where nothing is left but noise, the noise counts as text.
 """
 
 from __future__ import annotations
@@ -18,13 +18,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from folioloom.llm.common import staged
+
+#: Bytes of the hosts' paths up to which they are broadcast, and the parts that each host is dealt to beyond that.
+BROADCAST_BYTES, PARTS = 32 << 20, 64
+
 # Comments and elements without markup inside run to the end of the page if they are not closed. Elements that are no
 # text either are left out with all they hold if they are closed, and are met as tags of their own if not.
+# Quotes hold a value only behind an equals sign; elsewhere, and where they are not closed, they are plain characters.
+_ATTRS = r"""(?:[^<>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
 _MARKUP = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<head\b[^>]*>.*?(?:</head\s*>|(?=<body))|<(?!(?:svg|object|iframe)\b[^>]*/>)(noscript|template|svg|iframe|select|button|object)\b[^>]*>[^<]*+(?:<(?!/?\2\b)[^<]*+)*+</\2\s*>|<(/?)([a-z][a-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""",
+    rf"""<!--.*?(?:-->|\Z)|<(script|style|textarea)\b{_ATTRS}>.*?(?:</\1\s*>|\Z)|<head\b{_ATTRS}>.*?(?:</head\s*>|(?=<body))"""
+    rf"""|<(?!(?:svg|object|iframe)\b[^<>]*/>)(noscript|template|svg|iframe|select|button|object)\b{_ATTRS}>[^<]*+(?:<(?!/?\2\b)[^<]*+)*+</\2\s*>"""
+    rf"""|<(/?)([a-z][a-z0-9:-]*+)({_ATTRS})>|<[!?][^>]*>""",
     re.S | re.I,
 )
-_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s"'>][^\s>]*))?""")
 # Fixed values of HTML: elements without content, elements that begin a new block, elements that can hold an article.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -58,23 +67,23 @@ def _hidden(tag: str, attrs: str, inside: list) -> tuple[bool, str]:
     return noise, ".".join([tag, *sorted(re.sub(r"\d+", "#", x) for x in set(names.lower().split()))])
 
 
-def blocks(page: str, filtered: bool = True) -> Iterator[tuple[list[tuple[int, str]], str, bool]]:
-    """The blocks of a page that may belong to an article, in order: the containers around it from the outermost
-    (number and path), its text with character references decoded and white space collapsed, and whether it is a
-    link alone. Unfiltered, blocks in elements that are no part of an article come too."""
-    stack: list[tuple[str, str, bool, int]] = []  # tag, path, noise, number of the element
+def blocks(page: str, filtered: bool = True) -> Iterator[tuple[list[str], str, bool]]:
+    """The blocks of a page that may belong to an article, in order: the paths of the containers around it from the
+    outermost, its text with character references decoded and white space collapsed, and whether it is a link alone.
+    Unfiltered, blocks in elements that are no part of an article come too."""
+    stack: list[tuple[str, str, bool]] = []  # tag, path, noise
     last: dict[str, int] = {}  # where the last end tag of a name stands
     text: list[str] = []
-    at = count = linked = 0
+    at = linked = 0
     noisy = False
 
-    def flush() -> Iterator[tuple[list[tuple[int, str]], str, bool]]:
+    def flush() -> Iterator[tuple[list[str], str, bool]]:
         nonlocal linked
         if text:
             clean = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if clean:
-                yield [(n, p) for t, p, _, n in stack if t in _HOLDER], clean, linked >= 0.9 * len(clean)
+                yield [p for t, p, _ in stack if t in _HOLDER], clean, linked >= 0.9 * len(clean)
         linked = 0
 
     def pop(k: int) -> None:
@@ -124,11 +133,10 @@ def blocks(page: str, filtered: bool = True) -> Iterator[tuple[list[tuple[int, s
         if tag in _VOID or m[5].endswith("/") and tag not in _BLOCK:
             continue
         noise, name = _hidden(tag, m[5].strip(), stack)
-        count += 1
         if tag in _NESTED and tag not in last:
             last[tag] = max((e.start() for e in re.finditer(f"</{tag}\\b", page, re.I)), default=-1)
         noisy = noisy or noise and filtered or tag in _SKIP
-        stack.append((tag, f"{stack[-1][1]}>{name}" if stack else name, noisy, count))
+        stack.append((tag, f"{stack[-1][1]}>{name}" if stack else name, noisy))
     if noisy and stack[-1][0] == "head" and page[at:].strip():
         end_skipped("")
     if at < len(page) and not noisy:
@@ -136,29 +144,27 @@ def blocks(page: str, filtered: bool = True) -> Iterator[tuple[list[tuple[int, s
     yield from flush()
 
 
-def container_scores(found: list[tuple[list[tuple[int, str]], str, bool]]) -> tuple[dict[str, float], dict[int, float]]:
-    """Scores by path and by element: a block counts with its length for the nearest container, by half for the
-    next one; blocks that are links alone count for none."""
+def container_scores(found: list[tuple[list[str], str, bool]]) -> dict[str, float]:
+    """Scores of paths: a block counts with its length for the nearest container, by half for the next one; blocks
+    that are links alone count for none."""
     by_path: dict[str, float] = defaultdict(float)
-    by_element: dict[int, float] = defaultdict(float)
     for around, text, link in found:
         if not link:
-            for share, (n, path) in zip((1.0, 0.5), reversed(around)):
+            for share, path in zip((1.0, 0.5), reversed(around)):
                 by_path[path] += share * len(text)
-                by_element[n] += share * len(text)
-    return by_path, by_element
+    return by_path
 
 
 def extract(page: str | None, path: str | None) -> str:
-    """The text of the page's containers on the path, else of its best container, else of the whole page. A page that
-    has no text but in elements taken for noise is read with them."""
+    """The text of the page's containers on the path, else of those on its own best path, else of the whole page. A page
+    that has no text but in elements taken for noise is read with them."""
     found = list(blocks(page or "")) or list(blocks(page or "", filtered=False))
-    if path is not None and (kept := [t for around, t, _ in found if any(p == path for _, p in around)]):
+    if path is not None and (kept := [t for around, t, _ in found if path in around]):
         return "\n\n".join(kept)
-    _, scores = container_scores(found)
+    scores = container_scores(found)
     if scores:
-        best = max(scores, key=lambda n: (scores[n], -n))
-        return "\n\n".join(t for around, t, _ in found if any(n == best for n, _ in around))
+        best = max(scores, key=scores.get)  # of equal ones the first in the page
+        return "\n\n".join(t for around, t, _ in found if best in around)
     return "\n\n".join(t for _, t, _ in found)
 
 
@@ -166,7 +172,7 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         total: dict[tuple[str, str], list[float]] = defaultdict(lambda: [0.0, 0])
         for host, page in zip(batch["host"].to_pylist(), batch["page"].to_pylist()):
-            scores, _ = container_scores(list(blocks(page or "")))
+            scores = container_scores(list(blocks(page or "")))
             best = max(scores.values(), default=0.0)
             for path, s in scores.items():
                 if s >= 0.3 * best:
@@ -196,12 +202,23 @@ def _host(url: str):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
+def _with_paths(rows: DataFrame, paths: DataFrame) -> DataFrame:
+    """rows(host, ...) with the path of each one's host. Pages are not shuffled while the paths are small; beyond
+    that each host's pages are dealt to PARTS keys, so that a large host is not one task."""
+    size = paths.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path") + 32), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(paths), "host", "left")
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.lit(PARTS)))
+    copies = paths.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)).cast("array<long>")))
+    return dealt.join(copies, ["host", "part"], "left").drop("part")
+
+
 def main_texts(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """page_id, url, text and n_chars (code points) for each row of pages. Null or empty html gives an empty text;
     pages without a host (null urls too) count as one host; repeated rows are extracted as often as they stand;
     other columns of pages are ignored."""
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), _host(url).alias("host"), F.col(page).alias("page"))
-    known = rows.join(host_paths(pages, page, url), "host", "left").select("page_id", "url", "page", "path")
+    known = _with_paths(rows, staged(host_paths(pages, page, url), "host-paths")).select("page_id", "url", "page", "path")
     schema = StructType([known.schema["page_id"], StructField("url", StringType()), StructField("main_text", StringType())])
     out = known.mapInArrow(_texts, schema)
     return out.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))

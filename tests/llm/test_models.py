@@ -290,6 +290,27 @@ def test_html_layout_classes_are_no_noise():
     assert html_text.extract(f'<div class="sidebar"><p>{long}</p></div>', "html>body") == long
 
 
+def test_html_attributes_and_siblings():
+    long = "A sentence of the article that is long enough to count."
+    for start in ("<p title=it's>", '<p title="the hidden truth>', '<p title="a > b">', "<p data-a = 'x>y' class=b>", "<p a=b=c>", "<p a = >"):
+        assert html_text.extract(f"{start}{long}</p>", None) == long, start
+    assert html_text.extract(f"a < b and c > d <b>{long}</b>", None) == f"a < b and c > d {long}"
+    post = '<div class="post"><p>{}</p></div>'
+    assert html_text.extract(f"<body>{post.format(long)}{post.format('And more.')}<div class=x>Else</div></body>", None) == f"{long}\n\nAnd more."
+    for page in ("<p a=\"b'>x" * 20_000, "<p title=it's>x" * 20_000, '<a x="' * 20_001, "<script " * 20_000):
+        began = time.time()
+        html_text.extract(page, None)
+        assert time.time() - began < 5
+
+
+def test_html_pages_meet_the_paths_of_their_hosts(spark, monkeypatch):
+    pages = spark.createDataFrame([(i % 40 or None, f"http://h{i % 3}/{i % 5}" if i % 7 else None, PAGE.format(i)) for i in range(60)], "page_id long, url string, html string")
+    rows = lambda: sorted(map(str, html_text.main_texts(pages).collect()))
+    small = rows()
+    monkeypatch.setattr(html_text, "BROADCAST_BYTES", -1)
+    assert rows() == small and len(small) == 60
+
+
 def test_html_elements_that_are_not_closed():
     cases = {
         '<p>one</p><svg class="i"/><p>two</p><p>three</p>': "one|two|three", '<p>one</p><svg class="i"/><p>two</p><svg><path d="M0"/>no</svg><p>three</p>': "one|two|three",
