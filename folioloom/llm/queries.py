@@ -1,4 +1,4 @@
-"""The queries op1 to op10: each operator over its whole table, reduced to the columns asked for."""
+"""The queries op1 to op13: each operator over its whole table, reduced to the columns asked for."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioloom.llm import ann, html_text, line_dedup, lm, mixing, ngram_join, quality, syncmers, toxicity, transducer
+from folioloom.llm import ann, html_text, line_dedup, lm, mixing, ngram_join, periodic, quality, spelling, syncmers, toxicity, transducer
 from folioloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,7 +61,17 @@ def op10_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "next_doc_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ann_forest, op2_mix_sources, op3_line_dedup, op4_lm_scores, op5_sentencepiece, op6_toxicity, op7_html_main_text, op8_quality, op9_ngram_jaccard, op10_syncmer_fingerprints)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest run, and digests of all runs and of the collapsed text, of every document."""
+    return periodic.collapsed(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of five letters or more with its near words, form and root."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ann_forest, op2_mix_sources, op3_line_dedup, op4_lm_scores, op5_sentencepiece, op6_toxicity, op7_html_main_text, op8_quality, op9_ngram_jaccard, op10_syncmer_fingerprints, op11_periodic_runs, op12_spelling_variants)}
 #: The mixture in SQL; the other results rest on hashes, models or searches that SQL does not have.
 ORACLE_SQL: dict[str, str] = {
     "op2_mix_sources": r"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, coalesce(1.0::DOUBLE - 0.75::DOUBLE * length(regexp_replace(text, '[\p{L}\x20\x09-\x0D]+', '', 'g')) / greatest(length(text), 1), 1.0) AS w,
