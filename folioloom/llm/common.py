@@ -29,12 +29,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+def staged(df: DataFrame, name: str, by: str | None = None, compression: str = "snappy") -> DataFrame:
     """Write df as a table in the shared folder, in folders by the column `by` if there is one, and read it again: cuts
     lineage, and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

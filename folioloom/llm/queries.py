@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioloom.llm import ann, html_text, line_dedup, lm, mixing, ngram_join, periodic, quality, spelling, syncmers, toxicity, transducer
+from folioloom.llm import ann, html_text, line_dedup, lm, mixing, ngram_join, periodic, quality, spelling, suffix_dedup
+from folioloom.llm import syncmers, toxicity, transducer
 from folioloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,7 +72,12 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ann_forest, op2_mix_sources, op3_line_dedup, op4_lm_scores, op5_sentencepiece, op6_toxicity, op7_html_main_text, op8_quality, op9_ngram_jaccard, op10_syncmer_fingerprints, op11_periodic_runs, op12_spelling_variants)}
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes under strings of 200 bytes that also stand elsewhere."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ann_forest, op2_mix_sources, op3_line_dedup, op4_lm_scores, op5_sentencepiece, op6_toxicity, op7_html_main_text, op8_quality, op9_ngram_jaccard, op10_syncmer_fingerprints, op11_periodic_runs, op12_spelling_variants, op13_suffix_dedup)}
 #: The mixture in SQL; the other results rest on hashes, models or searches that SQL does not have.
 ORACLE_SQL: dict[str, str] = {
     "op2_mix_sources": r"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, coalesce(1.0::DOUBLE - 0.75::DOUBLE * length(regexp_replace(text, '[\p{L}\x20\x09-\x0D]+', '', 'g')) / greatest(length(text), 1), 1.0) AS w,
