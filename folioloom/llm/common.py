@@ -38,6 +38,17 @@ def staged(df: DataFrame, name: str, by: str | None = None, compression: str = "
     return spark.read.schema(df.schema).parquet(path)
 
 
+def step(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """staged(), for jobs of many steps: the shuffle files of the step go as soon as its table is written."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        return staged(df, name, compression=compression)
+    finally:
+        conf.set(key, before)
+
+
 def n_words(text: Column) -> Column:
     """Number of words; null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -7,9 +7,10 @@ at the same place. What an anchor can decide lies in its context, LENGTH bytes a
 Anchors whose gram stands nowhere else are no one's partner. The others' different contexts are sorted twice, by what lies
 ahead (the suffix) and by what lies back, each time dealt out by ranges of the whole context, so that no group of equal
 grams, prefixes or passages falls to one task. A task sorts its range deep-shallow: multikey quicksort on words of 8 bytes
-down to SHALLOW bytes, then a blind trie for each group that is still alike. Neighbours in either order have the longest
-common strings ahead and back, so they bound what a context shares with any other; where a neighbour doesn't reach the
-bound, the strings in question (few) are compared with those of the same anchor.
+down to SHALLOW bytes, then a blind trie for each group that is still alike. Contexts whose gram has no more than NEAR
+others on either side in the first order are compared with all of them. Of other grams the neighbours in either order have
+the longest common strings ahead and back, so they bound what a context shares with any other; where a neighbour doesn't
+reach the bound, the strings that two contexts' bounds allow are compared.
 """
 
 from __future__ import annotations
@@ -23,11 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioloom.llm.common import staged
+from folioloom.llm.common import step
 
 LENGTH, GRAM, SHALLOW = 200, 32, 40
 #: Bytes that are hashed together, and contexts that a task sorts, about.
 CHUNK, PART = 1 << 18, 1 << 17
+#: Neighbours on either side that a context is compared with.
+NEAR = 8
 #: Stands in no UTF-8 text: ends a context that ends with its document.
 END = 0xFF
 
@@ -226,8 +229,8 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(differ.any(1), differ.argmax(1), a.shape[1])
 
 
-_REACH = pa.schema([("ctx", pa.binary()), ("gram", pa.int64()), ("l", pa.int32()), ("r", pa.int32()), ("got_l", pa.int32()), ("got_r", pa.int32()), ("part", pa.int32()), ("edge", pa.int32()), ("key", pa.binary())])
-REACH = "ctx binary, gram long, l int, r int, got_l int, got_r int, part int, edge int, key binary"
+_REACH = pa.schema([("ctx", pa.binary()), ("gram", pa.int64()), ("l", pa.int32()), ("r", pa.int32()), ("got_l", pa.int32()), ("got_r", pa.int32()), ("done", pa.bool_()), ("part", pa.int32()), ("edge", pa.int32()), ("key", pa.binary())])
+REACH = "ctx binary, gram long, l int, r int, got_l int, got_r int, done boolean, part int, edge int, key binary"
 
 
 def _rows(column: pa.Array, width: int) -> np.ndarray:
@@ -242,43 +245,47 @@ def _sides(keys: np.ndarray, length: int, gram: int, ahead_first: bool) -> tuple
     return np.concatenate([keys[:, :gram], keys[:, gram + back :]], 1), keys[:, gram : gram + back]
 
 
-def _pairs(ahead: np.ndarray, back: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(l, r, enough) of each row with the next one."""
-    l, r = _common(back[:-1], back[1:]), _common(ahead[:-1], ahead[1:])
-    return l, r, l + r >= length
-
-
 def _sorter(length: int, gram: int, ahead_first: bool):
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(ctx, many, gram, key) of one range -> for each context how far a neighbour shares it ahead (r) and back (l), and
-        how far one that shares `length` bytes does (got_r, got_l; -1: none); the range's ends with their keys."""
+        """(ctx, many, gram, key) of one range -> for each context how far a neighbour shares it ahead (r) and back (l), how
+        far one that shares `length` bytes does (got_r, got_l; -1: none), and whether all others of its gram were met
+        (done); the range's ends with their keys."""
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         whole = pa.Table.from_batches(got).combine_chunks().to_batches()[0]
-        width = 2 * length - gram
-        keys = _rows(whole.column(3), width)
+        keys = _rows(whole.column(3), 2 * length - gram)
         order = deep_shallow_order(keys)
-        ahead, back = _sides(keys[order], length, gram, ahead_first)
         out = np.full((4, len(order)), -1, np.int32)
+        met = np.zeros((2, len(order)), bool)
+        same = whole.column(2).to_numpy()[order]
         for lo in range(0, len(order) - 1, 8192):
-            hi = min(lo + 8192, len(order) - 1)
-            l, r, enough = _pairs(ahead[lo : hi + 1], back[lo : hi + 1], length)
-            for where in (slice(lo, hi), slice(lo + 1, hi + 1)):
-                for row, value in enumerate((l, r, np.where(enough, l, -1), np.where(enough, r, -1))):
-                    out[row, where] = np.maximum(out[row, where], value)
+            hi = min(lo + 8192 + NEAR, len(order))
+            ahead, back = _sides(keys[order[lo:hi]], length, gram, ahead_first)
+            for s in range(1, min(NEAR if ahead_first else 1, hi - lo - 1) + 1):
+                at = np.flatnonzero(same[lo : hi - s] == same[lo + s : hi])
+                alone = np.flatnonzero(same[lo : hi - s] != same[lo + s : hi]) + lo
+                met[0, alone] = met[1, alone + s] = True
+                l, r = _common(back[at], back[at + s]), _common(ahead[at], ahead[at + s])
+                enough = l + r >= length
+                for where in (at + lo, at + lo + s):
+                    for row, value in enumerate((l, r, np.where(enough, l, -1), np.where(enough, r, -1))):
+                        out[row, where] = np.maximum(out[row, where], value)
+        done = met.all(0) & ahead_first
         many = np.asarray(whole.column(1).to_numpy(zero_copy_only=False), bool)[order]
-        own_l, own_r = (back != END).sum(1), (ahead != END).sum(1)
-        for row, value in enumerate((own_l, own_r, own_l, own_r)):
-            out[row] = np.where(many & (own_l + own_r >= length), value, out[row])
+        for at in np.array_split(np.flatnonzero(many), max(many.sum() // 8192, 1)):
+            ahead, back = _sides(keys[order[at]], length, gram, ahead_first)
+            own_l, own_r = (back != END).sum(1), (ahead != END).sum(1)
+            for row, value in enumerate((own_l, own_r, own_l, own_r)):
+                out[row, at] = np.where(own_l + own_r >= length, value, out[row, at])
         task = TaskContext.get().partitionId()
         ctx, grams = whole.column(0).take(pa.array(order)), whole.column(2).take(pa.array(order))
         for lo in range(0, len(order), 16384):
             n = len(order[lo : lo + 16384])
-            yield pa.RecordBatch.from_arrays([ctx.slice(lo, n), grams.slice(lo, n), *(pa.array(x[lo : lo + n]) for x in out), pa.array([task] * n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=_REACH)
+            yield pa.RecordBatch.from_arrays([ctx.slice(lo, n), grams.slice(lo, n), *(pa.array(x[lo : lo + n]) for x in out), pa.array(done[lo : lo + n]), pa.array([task] * n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=_REACH)
         ends = pa.array([0, len(order) - 1])
         none = pa.array([-1, -1], pa.int32())
-        yield pa.RecordBatch.from_arrays([ctx.take(ends), grams.take(ends), none, none, none, none, pa.array([task] * 2, pa.int32()), pa.array([0, 1], pa.int32()), whole.column(3).take(pa.array(order[[0, -1]]))], schema=_REACH)
+        yield pa.RecordBatch.from_arrays([ctx.take(ends), grams.take(ends), none, none, none, none, pa.array([False, False]), pa.array([task] * 2, pa.int32()), pa.array([0, 1], pa.int32()), whole.column(3).take(pa.array(order[[0, -1]]))], schema=_REACH)
 
     return sort
 
@@ -293,7 +300,7 @@ def _joiner(length: int, gram: int, ahead_first: bool):
             l, r = _common(back[:n], back[n:]).astype(np.int32), _common(ahead[:n], ahead[n:]).astype(np.int32)
             got = [np.where(l + r >= length, x, -1).astype(np.int32) for x in (l, r)]
             for i in (0, 3):
-                yield pa.RecordBatch.from_arrays([batch.column(i), batch.column(i + 1), *(pa.array(x) for x in (l, r, *got)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=_REACH)
+                yield pa.RecordBatch.from_arrays([batch.column(i), batch.column(i + 1), *(pa.array(x) for x in (l, r, *got)), pa.array([False] * n), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=_REACH)
 
     return join
 
@@ -303,7 +310,7 @@ def sorted_reach(contexts: DataFrame, parts: int, length: int, gram: int, ahead_
     cut = F.substring("ahead", 1, gram), F.substring("ahead", gram + 1, length)
     key = F.concat("ahead", "back") if ahead_first else F.concat(cut[0], F.col("back"), cut[1])
     dealt = contexts.select("ctx", "many", "gram", key.alias("key")).repartitionByRange(parts, "key")
-    found = staged(dealt.mapInArrow(_sorter(length, gram, ahead_first), REACH), "reach")
+    found = step(dealt.mapInArrow(_sorter(length, gram, ahead_first), REACH), "reach")
     along = Window.orderBy("part", "edge")
     ends = found.filter("edge is not null").select("ctx", "gram", "key", "edge", *(F.lead(c).over(along).alias(f"next_{c}") for c in ("ctx", "gram", "key")))
     ends = ends.filter("edge = 1 and next_ctx is not null").drop("edge").repartition(1)
@@ -311,24 +318,28 @@ def sorted_reach(contexts: DataFrame, parts: int, length: int, gram: int, ahead_
 
 
 def _unproved(reach: DataFrame, length: int) -> DataFrame:
-    """reach(gram, l, r, got_l, got_r) -> gram, d: lengths of the part before the anchor for which some context may share
-    `length` bytes further than its neighbours show."""
+    """reach(ctx, gram, l, r, got_l, got_r, done) -> ctx, ds: for the grams whose neighbours leave it open whether some
+    context shares `length` bytes further than they do, the lengths d of the part before the anchor that are in
+    question and that this context's own bounds allow."""
     low, high = F.lit(length) - F.col("r"), F.col("l")
     seq = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
-    none = F.col("got_l") < 0
     before = seq(F.greatest(low, F.col("got_l") + 1), high)
     behind = seq(low, F.least(high, F.lit(length) - F.col("got_r") - 1))
-    return reach.select("gram", F.explode(F.when(none, seq(low, high)).otherwise(F.array_union(before, behind))).alias("d")).distinct()
+    ds = F.when(F.col("got_l") < 0, seq(low, high)).otherwise(F.array_union(before, behind))
+    asked = reach.filter("not done").select("gram", F.explode(ds).alias("d")).distinct().groupBy("gram").agg(F.collect_list("d").alias("ds"))
+    own = reach.filter("not done").select("ctx", "gram", "l", "r").join(asked, "gram")
+    allowed = F.filter("ds", lambda d: (d <= F.col("l")) & (F.lit(length) - d <= F.col("r")))
+    return own.select("ctx", allowed.alias("ds")).filter(F.size("ds") > 0)
 
 
 def _shared_windows(contexts: DataFrame, open_: DataFrame, length: int) -> DataFrame:
-    """ctx, got_l, got_r: strings of `length` bytes around the anchors of open_(gram, d) that two contexts have."""
-    near = contexts.join(open_, "gram")
-    mine, rest = F.substring(F.col("back"), F.lit(1), F.col("d")), F.substring(F.col("ahead"), F.lit(1), F.lit(length) - F.col("d"))
-    whole = (F.instr(F.hex(mine), "FF") == 0) & (F.instr(F.hex(rest), "FF") == 0)
-    near = near.filter(whole).select("ctx", "d", F.md5(F.concat(rest, mine)).alias("string"))
-    twice = near.groupBy("d", "string").count().filter("count > 1").select("d", "string")
-    return near.join(twice, ["d", "string"], "left_semi").select("ctx", F.col("d").alias("got_l"), (F.lit(length) - F.col("d")).cast("int").alias("got_r"))
+    """contexts(ctx, gram, ahead, back), open_(ctx, ds) -> ctx, got_l, got_r: strings of `length` bytes around an anchor
+    that two contexts have."""
+    near = contexts.join(open_, "ctx").select("ctx", "gram", "ahead", "back", F.explode("ds").alias("d"))
+    string = F.concat(F.substring(F.col("back"), F.lit(1), F.col("d")), F.substring(F.col("ahead"), F.lit(1), F.lit(length) - F.col("d")))
+    near = near.select("ctx", "gram", "d", F.xxhash64(string).alias("string"))
+    twice = near.groupBy("gram", "d", "string").count().filter("count > 1").drop("count")
+    return near.join(twice, ["gram", "d", "string"], "left_semi").select("ctx", F.col("d").alias("got_l"), (F.lit(length) - F.col("d")).cast("int").alias("got_r"))
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,23 +369,23 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def covered(docs: DataFrame, length: int, gram: int, part: int = PART) -> DataFrame:
     """docs(k, id, text) -> k, id, cuts: array of struct(first, stop), the bytes covered by a string that stands elsewhere."""
     long = docs.filter(F.octet_length("text") >= length)
-    marks = staged(long.mapInArrow(_marker(length, gram), "k long, id long, pos array<int>, gram array<long>, ctx array<binary>"), "anchors")
+    marks = step(long.mapInArrow(_marker(length, gram), "k long, id long, pos array<int>, gram array<long>, ctx array<binary>"), "anchors")
     flat = marks.select("k", "id", F.explode(F.arrays_zip("pos", "gram", "ctx")).alias("a")).select("k", "id", "a.pos", "a.gram", "a.ctx")
     again = flat.groupBy("gram").count().filter("count > 1").select("gram")
-    found = staged(flat.join(again, "gram", "left_semi"), "candidates")
+    found = step(flat.join(again, "gram", "left_semi"), "candidates")
     firsts = found.groupBy("ctx").agg(F.first("k").alias("k"), F.first("id").alias("id"), F.first("pos").alias("pos"), (F.count("*") > 1).alias("many"))
     wanted = firsts.groupBy("k", "id").agg(F.collect_list(F.struct("pos", "ctx", "many")).alias("wanted"))
     cut = long.dropDuplicates(["k", "id"]).join(wanted, ["k", "id"]).select("text", "wanted").mapInArrow(_cutter(length, gram), "ctx binary, many boolean, ahead binary, back binary")
-    contexts = staged(cut.withColumn("gram", F.xxhash64(F.substring("ahead", 1, gram))), "contexts", compression="zstd")
+    contexts = step(cut.withColumn("gram", F.xxhash64(F.substring("ahead", 1, gram))), "contexts", compression="zstd")
     parts = contexts.count() // part + 1
     reach = sorted_reach(contexts, parts, length, gram, True).unionByName(sorted_reach(contexts, parts, length, gram, False))
-    most = [F.max(c).alias(c) for c in ("l", "r", "got_l", "got_r")]
-    reach = staged(reach.groupBy("ctx", "gram").agg(*most), "reached")
+    most = [F.max(c).alias(c) for c in ("l", "r", "got_l", "got_r", "done")]
+    reach = step(reach.groupBy("ctx", "gram").agg(*most), "reached")
     spans = reach.select("ctx", "got_l", "got_r")
-    open_ = staged(_unproved(reach, length), "unproved")
+    open_ = step(_unproved(reach, length), "unproved")
     if not open_.isEmpty():
-        spans = spans.unionByName(_shared_windows(contexts, open_, length)).groupBy("ctx").agg(*most[2:])
-    spans = staged(spans.filter("got_l >= 0"), "spans")
+        spans = spans.unionByName(_shared_windows(contexts, open_, length)).groupBy("ctx").agg(*most[2:4])
+    spans = step(spans.filter("got_l >= 0"), "spans")
     cuts = found.select("k", "id", "pos", "ctx").join(spans, "ctx").select("k", "id", F.struct((F.col("pos") - F.col("got_l")).alias("first"), (F.col("pos") + F.col("got_r")).alias("stop")).alias("cut"))
     return cuts.groupBy("k", "id").agg(F.collect_set("cut").alias("cuts"))
 
@@ -386,7 +397,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     document and are judged on the input. Rows equal in id and text are two documents and lose all if they are long
     enough, with equal results. Null texts count as empty; texts below `length` bytes lose nothing; an empty table gives an
     empty result; only the two columns named are read. Texts are told apart by a 64-bit hash with their id, contexts
-    by 128-bit digests.
+    by 128-bit digests, strings around one anchor by 64-bit hashes.
     """
     i = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("k"), i.alias("id"), F.col(text).alias("text"))
