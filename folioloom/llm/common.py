@@ -49,6 +49,14 @@ def step(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         conf.set(key, before)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that staged() or step() wrote, once no later step reads them."""
+    for table in tables:
+        if files := table.inputFiles():
+            folder = table.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def n_words(text: Column) -> Column:
     """Number of words; null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioloom.llm.common import step
+from folioloom.llm.common import discard, step
 
 LENGTH, GRAM, SHALLOW = 200, 32, 40
 #: Bytes that are hashed together, and contexts that a task sorts, about.
@@ -320,26 +320,27 @@ def sorted_reach(contexts: DataFrame, parts: int, length: int, gram: int, ahead_
 def _unproved(reach: DataFrame, length: int) -> DataFrame:
     """reach(ctx, gram, l, r, got_l, got_r, done) -> ctx, ds: for the grams whose neighbours leave it open whether some
     context shares `length` bytes further than they do, the lengths d of the part before the anchor that are in
-    question and that this context's own bounds allow."""
+    question and that this context's own bounds allow, each with `own`, whether it is in question for this one."""
     low, high = F.lit(length) - F.col("r"), F.col("l")
     seq = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
     before = seq(F.greatest(low, F.col("got_l") + 1), high)
     behind = seq(low, F.least(high, F.lit(length) - F.col("got_r") - 1))
-    ds = F.when(F.col("got_l") < 0, seq(low, high)).otherwise(F.array_union(before, behind))
-    asked = reach.filter("not done").select("gram", F.explode(ds).alias("d")).distinct().groupBy("gram").agg(F.collect_list("d").alias("ds"))
-    own = reach.filter("not done").select("ctx", "gram", "l", "r").join(asked, "gram")
+    own = F.when(F.col("got_l") < 0, seq(low, high)).otherwise(F.array_union(before, behind))
+    reach = reach.filter("not done").withColumn("own", own)
+    asked = reach.select("gram", F.explode("own").alias("d")).distinct().groupBy("gram").agg(F.collect_list("d").alias("ds"))
     allowed = F.filter("ds", lambda d: (d <= F.col("l")) & (F.lit(length) - d <= F.col("r")))
-    return own.select("ctx", allowed.alias("ds")).filter(F.size("ds") > 0)
+    ds = F.transform(allowed, lambda d: F.struct(d.alias("d"), F.array_contains("own", d).alias("own")))
+    return reach.join(asked, "gram").select("ctx", ds.alias("ds")).filter(F.size("ds") > 0)
 
 
 def _shared_windows(contexts: DataFrame, open_: DataFrame, length: int) -> DataFrame:
-    """contexts(ctx, gram, ahead, back), open_(ctx, ds) -> ctx, got_l, got_r: strings of `length` bytes around an anchor
-    that two contexts have."""
-    near = contexts.join(open_, "ctx").select("ctx", "gram", "ahead", "back", F.explode("ds").alias("d"))
+    """contexts(ctx, gram, ahead, back), open_(ctx, ds) -> ctx, got_l, got_r: strings of `length` bytes around an anchor that
+    two contexts have. They are counted in each task first; only those in question are joined with the counts."""
+    near = contexts.join(open_, "ctx").select("ctx", "gram", "ahead", "back", F.explode("ds").alias("x")).select("ctx", "gram", "ahead", "back", "x.*")
     string = F.concat(F.substring(F.col("back"), F.lit(1), F.col("d")), F.substring(F.col("ahead"), F.lit(1), F.lit(length) - F.col("d")))
-    near = near.select("ctx", "gram", "d", F.xxhash64(string).alias("string"))
-    twice = near.groupBy("gram", "d", "string").count().filter("count > 1").drop("count")
-    return near.join(twice, ["gram", "d", "string"], "left_semi").select("ctx", F.col("d").alias("got_l"), (F.lit(length) - F.col("d")).cast("int").alias("got_r"))
+    near = step(near.select("ctx", "gram", "d", "own", F.xxhash64("d", string).alias("string")), "windows")
+    twice = near.groupBy("gram", "string").count().filter("count > 1").drop("count")
+    return near.filter("own").join(twice, ["gram", "string"], "left_semi").select("ctx", F.col("d").alias("got_l"), (F.lit(length) - F.col("d")).cast("int").alias("got_r"))
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,19 +374,20 @@ def covered(docs: DataFrame, length: int, gram: int, part: int = PART) -> DataFr
     flat = marks.select("k", "id", F.explode(F.arrays_zip("pos", "gram", "ctx")).alias("a")).select("k", "id", "a.pos", "a.gram", "a.ctx")
     again = flat.groupBy("gram").count().filter("count > 1").select("gram")
     found = step(flat.join(again, "gram", "left_semi"), "candidates")
+    discard(marks)
     firsts = found.groupBy("ctx").agg(F.first("k").alias("k"), F.first("id").alias("id"), F.first("pos").alias("pos"), (F.count("*") > 1).alias("many"))
     wanted = firsts.groupBy("k", "id").agg(F.collect_list(F.struct("pos", "ctx", "many")).alias("wanted"))
     cut = long.dropDuplicates(["k", "id"]).join(wanted, ["k", "id"]).select("text", "wanted").mapInArrow(_cutter(length, gram), "ctx binary, many boolean, ahead binary, back binary")
     contexts = step(cut.withColumn("gram", F.xxhash64(F.substring("ahead", 1, gram))), "contexts", compression="zstd")
     parts = contexts.count() // part + 1
-    reach = sorted_reach(contexts, parts, length, gram, True).unionByName(sorted_reach(contexts, parts, length, gram, False))
     most = [F.max(c).alias(c) for c in ("l", "r", "got_l", "got_r", "done")]
-    reach = step(reach.groupBy("ctx", "gram").agg(*most), "reached")
-    spans = reach.select("ctx", "got_l", "got_r")
+    sorts = [sorted_reach(contexts, parts, length, gram, ahead_first) for ahead_first in (True, False)]
+    reach = step(sorts[0].unionByName(sorts[1]).groupBy("ctx", "gram").agg(*most), "reached")
+    discard(*sorts)
     open_ = step(_unproved(reach, length), "unproved")
-    if not open_.isEmpty():
-        spans = spans.unionByName(_shared_windows(contexts, open_, length)).groupBy("ctx").agg(*most[2:4])
+    spans = reach.select("ctx", "got_l", "got_r").unionByName(_shared_windows(contexts, open_, length)).groupBy("ctx").agg(*most[2:4])
     spans = step(spans.filter("got_l >= 0"), "spans")
+    discard(contexts, reach, open_)
     cuts = found.select("k", "id", "pos", "ctx").join(spans, "ctx").select("k", "id", F.struct((F.col("pos") - F.col("got_l")).alias("first"), (F.col("pos") + F.col("got_r")).alias("stop")).alias("cut"))
     return cuts.groupBy("k", "id").agg(F.collect_set("cut").alias("cuts"))
 
