@@ -9,8 +9,9 @@ ahead (the suffix) and by what lies back, each time dealt out by ranges of the w
 grams, prefixes or passages falls to one task. A task sorts its range deep-shallow: multikey quicksort on words of 8 bytes
 down to SHALLOW bytes, then a blind trie for each group that is still alike. Contexts whose gram has no more than NEAR
 others on either side in the first order are compared with all of them. Of other grams the neighbours in either order have
-the longest common strings ahead and back, so they bound what a context shares with any other; where a neighbour doesn't
-reach the bound, the strings that two contexts' bounds allow are compared.
+the longest common strings ahead and back, so they bound what a context shares with any other. Where a neighbour doesn't
+reach the bound, a task sorts a gram that lies in its range alone by what lies back too, and a string that two contexts have
+is a class in both orders; of grams that ranges cut, the strings that two contexts' bounds allow are compared.
 """
 
 from __future__ import annotations
@@ -229,8 +230,8 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(differ.any(1), differ.argmax(1), a.shape[1])
 
 
-_REACH = pa.schema([("ctx", pa.binary()), ("gram", pa.int64()), ("l", pa.int32()), ("r", pa.int32()), ("got_l", pa.int32()), ("got_r", pa.int32()), ("done", pa.bool_()), ("part", pa.int32()), ("edge", pa.int32()), ("key", pa.binary())])
-REACH = "ctx binary, gram long, l int, r int, got_l int, got_r int, done boolean, part int, edge int, key binary"
+_REACH = pa.schema([("ctx", pa.binary()), ("gram", pa.int64()), ("l", pa.int32()), ("r", pa.int32()), ("got_l", pa.int32()), ("got_r", pa.int32()), ("done", pa.bool_()), ("prev_l", pa.int32()), ("prev_r", pa.int32()), ("part", pa.int32()), ("edge", pa.int32()), ("key", pa.binary())])
+REACH = "ctx binary, gram long, l int, r int, got_l int, got_r int, done boolean, prev_l int, prev_r int, part int, edge int, key binary"
 
 
 def _rows(column: pa.Array, width: int) -> np.ndarray:
@@ -245,18 +246,45 @@ def _sides(keys: np.ndarray, length: int, gram: int, ahead_first: bool) -> tuple
     return np.concatenate([keys[:, :gram], keys[:, gram + back :]], 1), keys[:, gram : gram + back]
 
 
+def _shared_in_group(ahead: np.ndarray, back: np.ndarray, length: int, known: np.ndarray) -> np.ndarray:
+    """(got_l, got_r) of all contexts of one gram, in their order by what lies ahead; `known` are those so far. Contexts with
+    a string in common that begins d bytes before the anchor are neighbours, by length - d bytes ahead and by d
+    bytes back. Only the d that bounds allow and that neighbours leave open for some context are tried."""
+    n = len(ahead)
+    order = deep_shallow_order(back)
+    r, l = _common(ahead[:-1], ahead[1:]), _common(back[order[:-1]], back[order[1:]])
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    low = length - np.maximum(np.r_[r, 0], np.r_[0, r])
+    high = np.maximum(np.r_[l, 0], np.r_[0, l])[place]
+    none = known[0] < 0
+    open_ = np.zeros(length + 2, np.int64)
+    for a, b in ((low, np.where(none, high, np.minimum(high, length - known[1] - 1))), (np.where(none, high + 1, np.maximum(low, known[0] + 1)), high)):
+        np.add.at(open_, a[a <= b], 1)
+        np.add.at(open_, b[a <= b] + 1, -1)
+    got = known.copy()
+    for d in np.flatnonzero(np.cumsum(open_)).tolist():
+        by_ahead, by_back = np.cumsum(np.r_[0, r < length - d]), np.cumsum(np.r_[0, l < d])[place]
+        key = by_ahead * n + by_back
+        by = np.argsort(key, kind="stable")
+        equal = key[by[1:]] == key[by[:-1]]
+        at = np.unique(np.concatenate([by[1:][equal], by[:-1][equal]]))
+        got[0, at], got[1, at] = np.maximum(got[0, at], d), np.maximum(got[1, at], length - d)
+    return got
+
+
 def _sorter(length: int, gram: int, ahead_first: bool):
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(ctx, many, gram, key) of one range -> for each context how far a neighbour shares it ahead (r) and back (l), how
-        far one that shares `length` bytes does (got_r, got_l; -1: none), and whether all others of its gram were met
-        (done); the range's ends with their keys."""
+        far one that shares `length` bytes does (got_r, got_l; -1: none), whether all others of its gram were met (done),
+        what it shares with the one before it in the first order (prev_l, prev_r); the range's ends with their keys."""
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         whole = pa.Table.from_batches(got).combine_chunks().to_batches()[0]
         keys = _rows(whole.column(3), 2 * length - gram)
         order = deep_shallow_order(keys)
-        out = np.full((4, len(order)), -1, np.int32)
+        out, previous = np.full((4, len(order)), -1, np.int32), np.full((2, len(order)), -1, np.int32)
         met = np.zeros((2, len(order)), bool)
         same = whole.column(2).to_numpy()[order]
         for lo in range(0, len(order) - 1, 8192):
@@ -268,10 +296,18 @@ def _sorter(length: int, gram: int, ahead_first: bool):
                 met[0, alone] = met[1, alone + s] = True
                 l, r = _common(back[at], back[at + s]), _common(ahead[at], ahead[at + s])
                 enough = l + r >= length
+                if s == 1 and ahead_first:
+                    previous[:, at + lo + 1] = l, r
                 for where in (at + lo, at + lo + s):
                     for row, value in enumerate((l, r, np.where(enough, l, -1), np.where(enough, r, -1))):
                         out[row, where] = np.maximum(out[row, where], value)
         done = met.all(0) & ahead_first
+        starts = np.flatnonzero(np.r_[True, same[1:] != same[:-1]])
+        for a, b in zip(starts[1:-1].tolist(), starts[2:].tolist(), strict=True) if ahead_first else ():
+            if not done[a:b].all():
+                ahead, back = _sides(keys[order[a:b]], length, gram, True)
+                out[2:, a:b] = _shared_in_group(ahead, back, length, out[2:, a:b])
+                done[a:b] = True
         many = np.asarray(whole.column(1).to_numpy(zero_copy_only=False), bool)[order]
         for at in np.array_split(np.flatnonzero(many), max(many.sum() // 8192, 1)):
             ahead, back = _sides(keys[order[at]], length, gram, ahead_first)
@@ -282,10 +318,10 @@ def _sorter(length: int, gram: int, ahead_first: bool):
         ctx, grams = whole.column(0).take(pa.array(order)), whole.column(2).take(pa.array(order))
         for lo in range(0, len(order), 16384):
             n = len(order[lo : lo + 16384])
-            yield pa.RecordBatch.from_arrays([ctx.slice(lo, n), grams.slice(lo, n), *(pa.array(x[lo : lo + n]) for x in out), pa.array(done[lo : lo + n]), pa.array([task] * n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=_REACH)
+            yield pa.RecordBatch.from_arrays([ctx.slice(lo, n), grams.slice(lo, n), *(pa.array(x[lo : lo + n]) for x in out), pa.array(done[lo : lo + n]), *(pa.array(x[lo : lo + n]) for x in previous), pa.array([task] * n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=_REACH)
         ends = pa.array([0, len(order) - 1])
         none = pa.array([-1, -1], pa.int32())
-        yield pa.RecordBatch.from_arrays([ctx.take(ends), grams.take(ends), none, none, none, none, pa.array([False, False]), pa.array([task] * 2, pa.int32()), pa.array([0, 1], pa.int32()), whole.column(3).take(pa.array(order[[0, -1]]))], schema=_REACH)
+        yield pa.RecordBatch.from_arrays([ctx.take(ends), grams.take(ends), none, none, none, none, pa.array([False, False]), none, none, pa.array([task] * 2, pa.int32()), pa.array([0, 1], pa.int32()), whole.column(3).take(pa.array(order[[0, -1]]))], schema=_REACH)
 
     return sort
 
@@ -300,7 +336,7 @@ def _joiner(length: int, gram: int, ahead_first: bool):
             l, r = _common(back[:n], back[n:]).astype(np.int32), _common(ahead[:n], ahead[n:]).astype(np.int32)
             got = [np.where(l + r >= length, x, -1).astype(np.int32) for x in (l, r)]
             for i in (0, 3):
-                yield pa.RecordBatch.from_arrays([batch.column(i), batch.column(i + 1), *(pa.array(x) for x in (l, r, *got)), pa.array([False] * n), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=_REACH)
+                yield pa.RecordBatch.from_arrays([batch.column(i), batch.column(i + 1), *(pa.array(x) for x in (l, r, *got)), pa.array([False] * n), *[pa.array([-1] * n, pa.int32())] * 2, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=_REACH)
 
     return join
 
@@ -318,9 +354,10 @@ def sorted_reach(contexts: DataFrame, parts: int, length: int, gram: int, ahead_
 
 
 def _unproved(reach: DataFrame, length: int) -> DataFrame:
-    """reach(ctx, gram, l, r, got_l, got_r, done) -> ctx, ds: for the grams whose neighbours leave it open whether some
-    context shares `length` bytes further than they do, the lengths d of the part before the anchor that are in
-    question and that this context's own bounds allow, each with `own`, whether it is in question for this one."""
+    """rows of REACH -> ctx, ds: for the grams whose neighbours leave it open whether some context shares `length` bytes
+    further than they do, the lengths d of the part before the anchor that are in question and that this context's own
+    bounds allow, each with `own`, whether it is in question for this one. Of contexts that follow each other in the first
+    order with equal strings for a d, only the first stands for them."""
     low, high = F.lit(length) - F.col("r"), F.col("l")
     seq = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
     before = seq(F.greatest(low, F.col("got_l") + 1), high)
@@ -328,7 +365,8 @@ def _unproved(reach: DataFrame, length: int) -> DataFrame:
     own = F.when(F.col("got_l") < 0, seq(low, high)).otherwise(F.array_union(before, behind))
     reach = reach.filter("not done").withColumn("own", own)
     asked = reach.select("gram", F.explode("own").alias("d")).distinct().groupBy("gram").agg(F.collect_list("d").alias("ds"))
-    allowed = F.filter("ds", lambda d: (d <= F.col("l")) & (F.lit(length) - d <= F.col("r")))
+    as_before = lambda d: (d <= F.col("prev_l")) & (F.lit(length) - d <= F.col("prev_r"))
+    allowed = F.filter("ds", lambda d: (d <= F.col("l")) & (F.lit(length) - d <= F.col("r")) & ~as_before(d))
     ds = F.transform(allowed, lambda d: F.struct(d.alias("d"), F.array_contains("own", d).alias("own")))
     return reach.join(asked, "gram").select("ctx", ds.alias("ds")).filter(F.size("ds") > 0)
 
@@ -372,15 +410,15 @@ def covered(docs: DataFrame, length: int, gram: int, part: int = PART) -> DataFr
     long = docs.filter(F.octet_length("text") >= length)
     marks = step(long.mapInArrow(_marker(length, gram), "k long, id long, pos array<int>, gram array<long>, ctx array<binary>"), "anchors")
     flat = marks.select("k", "id", F.explode(F.arrays_zip("pos", "gram", "ctx")).alias("a")).select("k", "id", "a.pos", "a.gram", "a.ctx")
-    again = flat.groupBy("gram").count().filter("count > 1").select("gram")
+    again = step(flat.groupBy("gram").count().filter("count > 1").select("gram"), "grams")  # written, so that a frequent gram's join can be split
     found = step(flat.join(again, "gram", "left_semi"), "candidates")
-    discard(marks)
+    discard(marks, again)
     firsts = found.groupBy("ctx").agg(F.first("k").alias("k"), F.first("id").alias("id"), F.first("pos").alias("pos"), (F.count("*") > 1).alias("many"))
     wanted = firsts.groupBy("k", "id").agg(F.collect_list(F.struct("pos", "ctx", "many")).alias("wanted"))
     cut = long.dropDuplicates(["k", "id"]).join(wanted, ["k", "id"]).select("text", "wanted").mapInArrow(_cutter(length, gram), "ctx binary, many boolean, ahead binary, back binary")
     contexts = step(cut.withColumn("gram", F.xxhash64(F.substring("ahead", 1, gram))), "contexts", compression="zstd")
     parts = contexts.count() // part + 1
-    most = [F.max(c).alias(c) for c in ("l", "r", "got_l", "got_r", "done")]
+    most = [F.max(c).alias(c) for c in ("l", "r", "got_l", "got_r", "done", "prev_l", "prev_r")]
     sorts = [sorted_reach(contexts, parts, length, gram, ahead_first) for ahead_first in (True, False)]
     reach = step(sorts[0].unionByName(sorts[1]).groupBy("ctx", "gram").agg(*most), "reached")
     discard(*sorts)
