@@ -40,7 +40,11 @@ def records(spark: SparkSession, d: str, odd: bool) -> DataFrame:
 
 
 def rating_events(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
+    return rated(table(spark, d, "events"))
+
+
+def rated(e: DataFrame) -> DataFrame:
+    """Events, as a table or a stream, as ratings of works; errors delete."""
     rating = F.when(F.col("event_type") != "error", 1 + F.floor("value").cast("int") % 10)
     return e.select("event_id", "user_id", F.get_json_object("props", "$.k").cast("long").alias("work_id"), rating.cast("int").alias("rating"), "ts")
 

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from folioloom.functions import profile, text
 from folioloom.functions.profile import AXES, AXIS_NAMES, TROPES
-from folioloom.operators import catalog, extract, genres, jobs, link, search, similar
+from folioloom.operators import catalog, extract, genres, jobs, link, progress, search, similar, staging
 from folioloom.plans import fixtures as fx
 from folioloom.plans.fixtures import table
-from folioloom.plans.queries import AGG, BY_GENRE, ONE, PAIRS, PLAIN, PROFILES, WORKS, _axes_sql, _fast_sql, _jaccard_sql, _joined, _sides, query
+from folioloom.plans.queries import AGG, BY_GENRE, EVENTS, ONE, PAIRS, PLAIN, PROFILES, WORKS, _axes_sql, _fast_sql, _jaccard_sql, _joined, _sides, query
+from folioloom.streaming import user_ratings
 
 # Fields of records and pages
 _PRICE = "CAST(p_retailprice AS DECIMAL(12, 2))"
@@ -408,3 +409,35 @@ def top_of_genre(spark, d):
     words = F.split("p_name", " ")
     asked = table(spark, d, "part").select(words[0].alias("genre"), words[1].alias("q")).distinct()
     return search.top_of_genre(w, catalog.bridge(w, "genres", "genre"), asked, 50).select("genre", "q", "work_id", F.col("rank").cast("long").alias("rank"))
+
+
+# State that jobs and streams keep
+
+
+@query(f"WITH {EVENTS} SELECT work_id, count(*) AS count, round(avg(rating), 2) AS average FROM last WHERE rating IS NOT NULL GROUP BY work_id")
+def live_community(spark, d):
+    """The table events as a stream, and the stats that its ratings give."""
+    schema = table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]")  # a pattern: the table may be one file
+    at = staging.fresh(spark, "live")
+    ratings = user_ratings.ratings_table(spark, f"{at}/ratings")
+    user_ratings.live_community(fx.rated(stream), ratings, f"{at}/checkpoint").awaitTermination()
+    return user_ratings.community_of(ratings)
+
+
+_ERRORS = """CASE WHEN o_orderstatus = 'F' THEN NULL WHEN o_orderstatus = 'P' THEN 'insufficient_source: ' || o_orderpriority
+ WHEN o_orderpriority LIKE '1%' THEN 'ConnectError: no server' ELSE 'no JSON in the answer' END"""
+
+
+@query(f"""WITH e AS (SELECT o_orderkey AS id, {_ERRORS} AS e, o_orderkey % 2 AS odd FROM orders)
+ SELECT id, CASE WHEN e IS NULL OR e LIKE 'Connect%' THEN 'ok' WHEN e LIKE 'insuff%' THEN 'skip:' || e ELSE 'fail:' || e END AS status
+ FROM e WHERE e IS NULL OR e NOT LIKE 'Connect%' OR odd = 0""")
+def progress_log(spark, d):
+    """Two passes over the orders: what finds no server in the first has none or an answer in the second. The first pass is
+    started again when it is over, which changes nothing."""
+    log = progress.progress_log(spark, staging.fresh(spark, "progress"))
+    queue = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.expr(_ERRORS).alias("error"))
+    back = F.when(~F.col("error").startswith("Connect") | (F.col("id") % 2 == 1), F.col("error"))
+    for turn, error in ((0, F.col("error")), (0, F.col("error")), (1, back)):
+        progress.run_pass(queue, lambda part, e=error: part.select("id", e.alias("error")), log, 3, turn)
+    return log.read().select("id", "status")

@@ -5,12 +5,11 @@ Batch and stream give the same state: the event with the latest (ts, event_id) o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
+
+from folioloom.streaming.folded import FoldedTable
 
 
 def latest(events: DataFrame) -> DataFrame:
@@ -42,42 +41,38 @@ def rating_of(state: DataFrame, keys: DataFrame) -> DataFrame:
     return out.withColumn("count", F.coalesce("count", F.lit(0)))
 
 
-CHANGES = "user_id long, work_id long, rating int, event_id long, d_count int, d_sum int"
-_STATE = "micros long, event_id long, rating int"
+RATINGS = "user_id long, work_id long, rating int, ts timestamp, event_id long"
+
 
+def ratings_table(spark: SparkSession, path: str, keep: int = 16, forget: str | None = None) -> FoldedTable:
+    """Each key's last event under path, deletions included. A compaction drops deletions that are older than the newest event
+    by the interval `forget` (as "30 days"; None: never); an event that comes later than that after its key's
+    deletion, though it happened before, stands again."""
 
-def _newest(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    old = state.get if state.exists else (-1, -1, None)
-    best = old
-    for pdf in frames:
-        for r in pdf.itertuples():
-            at = (int(r.micros), int(r.event_id))
-            if at > (best[0], best[1]):
-                best = (*at, None if pd.isna(r.rating) else int(r.rating))
-    if best is not old and (best[0], best[1]) != (old[0], old[1]):
-        state.update(best)
-        was, now = old[2], best[2]
-        yield pd.DataFrame([{"user_id": key[0], "work_id": key[1], "rating": now, "event_id": best[1], "d_count": (now is not None) - (was is not None), "d_sum": (now or 0) - (was or 0)}]).astype({"rating": "Int32"})
+    def prune(rows: DataFrame) -> DataFrame:
+        newest = rows.agg(F.max("ts").alias("newest"))  # one row
+        old = F.col("ts") < F.expr(f"newest - interval {forget}")
+        return rows.crossJoin(newest).filter(F.col("rating").isNotNull() | ~old).drop("newest")
 
+    return FoldedTable(spark, path, RATINGS, latest, keep, prune if forget else None)
 
-def changes(events: DataFrame) -> DataFrame:
-    """A stream of state changes of keys, with what they add to the work's count and sum. State is kept for each
-    user and work; late events lose against newer ones and win against older ones, whenever they come."""
-    keyed = events.select("user_id", "work_id", F.col("rating").cast("int").alias("rating"), "event_id", F.unix_micros("ts").alias("micros"))
-    return keyed.groupBy("user_id", "work_id").applyInPandasWithState(_newest, CHANGES, _STATE, "update", GroupStateTimeout.NoTimeout)
 
+def add_events(table: FoldedTable, events: DataFrame, number: int) -> bool:
+    """Add a batch of events: its last event of each key, found before anything is shuffled further."""
+    columns = [F.col(c).cast(kind).alias(c) for c, kind in (x.split() for x in RATINGS.split(", "))]
+    return table.add(events.select(*columns), number)
 
-def live_community(events: DataFrame, path: str, checkpoint: str, **trigger):
-    """Start a query that appends each batch's changes by work to a table under path, one folder for each batch, so
-    that a batch that is run again overwrites its own part and no other. `community_of` sums them up."""
 
-    def write(batch: DataFrame, number: int) -> None:
-        by_work = batch.groupBy("work_id").agg(F.sum("d_count").alias("d_count"), F.sum("d_sum").alias("d_sum"))
-        by_work.write.mode("overwrite").parquet(f"{path}/batch={number}")
+def live_community(events: DataFrame, table: FoldedTable, checkpoint: str, **trigger) -> StreamingQuery:
+    """Start a query that adds the stream's batches to the table of ratings; a batch that is run again adds nothing.
 
-    return changes(events).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(**(trigger or {"availableNow": True})).start()
+    The state is the table itself: late events lose against newer ones and win against older ones whenever they come,
+    and a batch costs what it holds, however many keys there are. `community_of` gives the works' stats so far.
+    """
+    stream = events.writeStream.option("checkpointLocation", checkpoint)
+    return stream.foreachBatch(lambda batch, number: add_events(table, batch, number)).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def community_of(changes_by_work: DataFrame) -> DataFrame:
-    sums = changes_by_work.groupBy("work_id").agg(F.sum("d_count").alias("count"), F.sum("d_sum").alias("total"))
-    return sums.filter("count > 0").select("work_id", "count", F.round(F.col("total") / F.col("count"), 2).alias("average"))
+def community_of(table: FoldedTable) -> DataFrame:
+    """work_id, count, average as community_stats() gives them for the events so far."""
+    return community_stats(table.read().filter(F.col("rating").between(1, 10)))
