@@ -43,17 +43,6 @@ def index_entries(works: DataFrame) -> DataFrame:
     return works.withColumn("search_blurb", blurb(F.col("description"))).drop("description") if "description" in works.columns else works
 
 
-def write_catalog(works: DataFrame, genres: DataFrame, path: str) -> dict[str, int]:
-    """All tables under a path: works, token_hits, genre_works, author_works, catalog_genres; their row counts."""
-    works = catalog_position(works)
-    tables = {"works": index_entries(works), "token_hits": token_hits(works).repartition("token").sortWithinPartitions("token"), "genre_works": bridge(works, "genres", "genre"), "author_works": bridge(works, "authors", "author"), "catalog_genres": genres}
-    out = {}
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-        out[name] = df.sparkSession.read.parquet(f"{path}/{name}").count()
-    return out
-
-
 def publishable(kind: Column, aggregate: Column, rating: Column, download: Column) -> Column:
     """Which rows go on: merged ones from 60, catalog rows always, extras with a score, one kind also by a download."""
     return F.when(kind == "merged", F.coalesce(aggregate >= 60, F.lit(False))).when(kind == "catalog", True).when(kind == "bookmix", rating.isNotNull() & (aggregate.isNotNull() | download.isNotNull())).otherwise(aggregate.isNotNull())

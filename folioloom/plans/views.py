@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from folioloom.functions import profile, text
 from folioloom.functions.profile import AXES, AXIS_NAMES, TROPES
-from folioloom.operators import catalog, extract, genres, jobs, link, progress, search, similar, staging
+from folioloom.operators import catalog, extract, genres, jobs, link, progress, search, similar, snapshot, staging
 from folioloom.plans import fixtures as fx
 from folioloom.plans.fixtures import table
-from folioloom.plans.queries import AGG, BY_GENRE, EVENTS, ONE, PAIRS, PLAIN, PROFILES, WORKS, _axes_sql, _fast_sql, _jaccard_sql, _joined, _sides, query
+from folioloom.plans.queries import AGG, BY_GENRE, EVENTS, ONE, ORACLE, PAIRS, PLAIN, PROFILES, WORKS, _axes_sql, _fast_sql, _jaccard_sql, _joined, _name_queries, _sides, query
 from folioloom.streaming import user_ratings
 
 # Fields of records and pages
@@ -441,3 +441,13 @@ def progress_log(spark, d):
     for turn, error in ((0, F.col("error")), (0, F.col("error")), (1, back)):
         progress.run_pass(queue, lambda part, e=error: part.select("id", e.alias("error")), log, 3, turn)
     return log.read().select("id", "status")
+
+
+@query(ORACLE["search_names"])
+def catalog_search(spark, d):
+    """search_names over a snapshot that replaces one of the rated works."""
+    root, works = staging.fresh(spark, "catalog"), fx.works(spark, d)
+    for part in (works.filter("aggregate_rating is not null"), works):
+        snapshot.write_catalog(part, genres.genre_counts(part), root, buckets=8)
+    out = snapshot.search_catalog(spark, root, _name_queries(spark, d, False))[0]
+    return out.select("query_id", F.col("rank").cast("long").alias("rank"), F.col("pos").cast("long").alias("pos"), "text_score", "relevance", "total")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.group import GroupedData as DataFrameGroups
 
-from folioloom.operators import catalog, extract, genres, jobs, link, reviews, search, similar
+from folioloom.operators import catalog, extract, genres, jobs, link, reviews, search, similar, snapshot
 from folioloom.functions.profile import AXIS_NAMES
 
 CASES = [
@@ -99,13 +99,51 @@ def test_pages(spark):
 
 def test_catalog_tables(spark, tmp_path):
     w = spark.createDataFrame([(i, f"title {i % 3}", ["An Author"], ["one", "two"], float(i % 7) if i % 2 else None) for i in range(40)], "work_id long, title string, authors array<string>, genres array<string>, aggregate_rating double")
-    counts = catalog.write_catalog(w, genres.genre_counts(w), str(tmp_path / "c"))
+    root = str(tmp_path / "c")
+    counts = snapshot.write_catalog(w, genres.genre_counts(w), root, buckets=3)
     assert counts == {"works": 40, "token_hits": counts["token_hits"], "genre_works": 80, "author_works": 40, "catalog_genres": 2}
     pos = [(r["pos"], r["aggregate_rating"] or 0.0, r["title"]) for r in catalog.catalog_position(w).collect()]
     assert sorted(p[0] for p in pos) == list(range(1, 41))
     assert [(-r, t) for _, r, t in sorted(pos)] == sorted((-r, t) for _, r, t in pos)
 
 
+def test_snapshots_are_read_whole(spark, tmp_path):
+    """A reader keeps the snapshot that it began with; one that is half written, or whose writer died, is never seen."""
+    root = str(tmp_path / "c")
+    works = lambda n: spark.createDataFrame([(i, f"title {i % 3}", ["An Author"], ["one"], 1.0) for i in range(n)], "work_id long, title string, authors array<string>, genres array<string>, aggregate_rating double")
+    with pytest.raises(FileNotFoundError):
+        snapshot.read_catalog(spark, root)
+    snapshot.write_catalog(works(5), genres.genre_counts(works(5)), root, buckets=2)
+    old = snapshot.read_catalog(spark, root)
+    broken = {"works": works(9), "token_hits": works(9).select(F.raise_error(F.lit("killed")).alias("token"))}
+    with pytest.raises(Exception, match="killed"):
+        snapshot.write_tables(spark, broken, root, buckets=2)
+    sizes = lambda t: {n: df.count() for n, df in t.items()}
+    assert sizes(snapshot.read_catalog(spark, root)) == sizes(old)
+    snapshot.write_catalog(works(7), genres.genre_counts(works(7)), root, buckets=2)
+    assert sizes(old)["works"] == 5 and sizes(snapshot.read_catalog(spark, root))["works"] == 7
+    snapshot.write_catalog(works(8), genres.genre_counts(works(8)), root, buckets=2)
+    assert len([x for x in (tmp_path / "c").iterdir() if x.name.startswith("snapshot")]) == 3  # two, and what the killed one left
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(("read_", "written_"))]
+
+
+def test_a_lookup_shuffles_no_index(spark, tmp_path):
+    root = str(tmp_path / "c")
+    w = spark.createDataFrame([(i, f"title {i % 3}", ["An Author"], ["one"], 1.0) for i in range(50)], "work_id long, title string, authors array<string>, genres array<string>, aggregate_rating double")
+    snapshot.write_catalog(w, genres.genre_counts(w), root, buckets=5)
+    hits = snapshot.read_catalog(spark, root)["token_hits"]
+    asked = spark.createDataFrame([(1, "title"), (2, "author")], "query_id long, token string").repartition(3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = hits.join(asked, "token")
+        assert joined.count() == 100
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    left = plan[: plan.index("Scan parquet")]
+    assert "SortMergeJoin" in plan and "Bucketed: true" in plan and "Exchange" not in left
+
+
 def test_neighbors_in_blocks_of_bounded_size(spark, monkeypatch):
     rnd = random.Random(5)
     rows = [(i, *(rnd.randint(1, 10) for _ in AXIS_NAMES), rnd.sample("abcdef", 2), rnd.sample("xyz", 2)) for i in range(120)]
