@@ -17,19 +17,20 @@ is a class in both orders; of grams that ranges cut, the strings that two contex
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b, sha256
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from folioloom.llm.common import discard, step
 
 LENGTH, GRAM, SHALLOW = 200, 32, 40
 #: Bytes that are hashed together, and contexts that a task sorts, about.
-CHUNK, PART = 1 << 18, 1 << 17
+CHUNK, PART = 1 << 15, 1 << 17
 #: Neighbours on either side that a context is compared with.
 NEAR = 8
 #: Stands in no UTF-8 text: ends a context that ends with its document.
@@ -52,12 +53,13 @@ def _gram_hashes(data: bytes, gram: int) -> np.ndarray:
     return v[:n]
 
 
-def _sliding(v: np.ndarray, width: int, fold: np.ufunc, fill: int) -> np.ndarray:
-    """fold over all windows of `width`, by folding from both ends of blocks of that length."""
-    n = len(v) - width + 1
-    blocks = np.concatenate([v, np.full(-len(v) % width, fill, np.uint64)]).reshape(-1, width)
-    ahead, back = fold.accumulate(blocks, 1).ravel(), fold.accumulate(blocks[:, ::-1], 1)[:, ::-1].ravel()
-    return fold(back[:n], ahead[width - 1 : width - 1 + n])
+def _sliding(v: np.ndarray, width: int, fold: np.ufunc) -> np.ndarray:
+    """fold over all windows of `width`, from windows of 1, 2, 4, ... that overlap."""
+    size = 1
+    while 2 * size <= width:
+        v, size = fold(v[:-size], v[size:]), 2 * size
+    rest = width - size
+    return fold(v[: len(v) - rest], v[rest:]) if rest else v
 
 
 def _anchors(data: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,9 +68,9 @@ def _anchors(data: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarra
     width = length - gram + 1
     if len(v) < width:
         return np.zeros(0, np.int64), v[:0]
-    least = _sliding(v, width, np.minimum, 2**64 - 1)
+    least = _sliding(v, width, np.minimum)
     edge = np.zeros(width - 1, np.uint64)
-    at = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), width, np.maximum, 0) == v)
+    at = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), width, np.maximum) == v)
     return at, v[at]
 
 
@@ -109,20 +111,24 @@ def _marker(length: int, gram: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                keys, ids = part.column(0).to_pylist(), part.column(1).to_pylist()
                 texts = [x.as_buffer().to_pybytes() for x in part.column(2)]
                 found: list[list[np.ndarray]] = [[] for _ in texts]
                 for i, places, hashes in _anchored(texts, length, gram):
                     found[i].append(np.stack([places, hashes.view(np.int64)]))
-                rows = []
-                for k, i, body, parts in zip(keys, ids, texts, found, strict=True):
+                back, places, digests = length - gram, [], []
+                for body, parts in zip(texts, found, strict=True):
                     both = np.concatenate(parts, axis=1) if parts else np.zeros((2, 0), np.int64)
                     if len(parts) > 1:
                         both = both[:, np.unique(both[0], return_index=True)[1]]
-                    back = length - gram
-                    ctx = [blake2b(body[max(p - back, 0) : p] + b"\xff" + body[p : p + length], digest_size=16).digest() for p in both[0].tolist()]
-                    rows.append((k, i, both[0].tolist(), both[1].tolist(), ctx))
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _MARKS, strict=True)], schema=_MARKS)
+                    places.append(both)
+                    # the seed tells where in the context its anchor is
+                    digests += [xxh3_128_digest(body[max(p - back, 0) : p + length], seed=min(p, back)) for p in both[0].tolist()]
+                cuts = pa.array(np.cumsum([0, *(x.shape[1] for x in places)]), pa.int32())
+                flat = np.concatenate(places, axis=1)
+                offsets = np.arange(len(digests) + 1, dtype=np.int32) * 16
+                ctx = pa.Array.from_buffers(pa.binary(), len(digests), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(digests))])
+                lists = [pa.ListArray.from_arrays(cuts, x) for x in (pa.array(flat[0].astype(np.int32)), pa.array(flat[1]), ctx)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], names=_MARKS.names)
 
     return mark
 
@@ -290,14 +296,23 @@ def _sorter(length: int, gram: int, ahead_first: bool):
         for lo in range(0, len(order) - 1, 8192):
             hi = min(lo + 8192 + NEAR, len(order))
             ahead, back = _sides(keys[order[lo:hi]], length, gram, ahead_first)
+            first = np.ascontiguousarray(back[:, :8]).view(np.uint64).ravel()
+            reach = np.zeros(hi - lo - 1, np.int64)
             for s in range(1, min(NEAR if ahead_first else 1, hi - lo - 1) + 1):
                 at = np.flatnonzero(same[lo : hi - s] == same[lo + s : hi])
                 alone = np.flatnonzero(same[lo : hi - s] != same[lo + s : hi]) + lo
                 met[0, alone] = met[1, alone + s] = True
-                l, r = _common(back[at], back[at + s]), _common(ahead[at], ahead[at + s])
+                if s == 1:
+                    l, r = _common(back[at], back[at + s]), _common(ahead[at], ahead[at + s])
+                    reach[at] = r
+                    if ahead_first:
+                        previous[:, at + lo + 1] = l, r
+                    apart = reach
+                else:  # what they share ahead is the least of what those between share with the next
+                    apart = np.minimum(apart[:-1], reach[s - 1 :])
+                    at = at[(apart[at] > length - 8) | (first[at] == first[at + s])]
+                    l, r = _common(back[at], back[at + s]), apart[at]
                 enough = l + r >= length
-                if s == 1 and ahead_first:
-                    previous[:, at + lo + 1] = l, r
                 for where in (at + lo, at + lo + s):
                     for row, value in enumerate((l, r, np.where(enough, l, -1), np.where(enough, r, -1))):
                         out[row, where] = np.maximum(out[row, where], value)
