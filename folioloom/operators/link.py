@@ -126,11 +126,24 @@ def _deferred(pairs: DataFrame, rounds: int) -> DataFrame:
             alive = written(alive, "pairs")
 
 
-def match_report(left: DataFrame, right: DataFrame, links: DataFrame) -> DataFrame:
-    """One row: totals, matched, unmatched on both sides, match rate in percent, whether it is 70 or more."""
+def match_report(left: DataFrame, right: DataFrame, links: DataFrame, covered: DataFrame | None = None) -> DataFrame:
+    """One row: totals, matched, unmatched on both sides, match rate in percent. With covered(left_id), the left records
+    that there was anything to match with, also their number, their share, those matched and their rate. Ready is a rate
+    of 70 or more, on the covered ones if they are given."""
     n = left.agg(F.count("*").alias("left_total")).crossJoin(right.agg(F.count("*").alias("right_total"))).crossJoin(links.agg(F.count_distinct("left_id").alias("matched"), F.count_distinct("right_id").alias("right_matched")))
-    rate = F.round(F.coalesce(F.try_divide(F.col("matched") * 100.0, F.col("left_total")), F.lit(0.0)), 2)
-    return n.select("left_total", "right_total", "matched", (F.col("left_total") - F.col("matched")).alias("left_unmatched"), (F.col("right_total") - F.col("right_matched")).alias("right_unmatched"), rate.alias("match_rate"), (rate >= 70).alias("ready"))
+    percent = lambda a, b: F.round(F.coalesce(F.try_divide(F.col(a) * 100.0, F.col(b)), F.lit(0.0)), 2)
+    rate = percent("matched", "left_total")
+    out = [
+        "left_total", "right_total", "matched", (F.col("left_total") - F.col("matched")).alias("left_unmatched"),
+        (F.col("right_total") - F.col("right_matched")).alias("right_unmatched"), rate.alias("match_rate"),
+    ]
+    if covered is None:
+        return n.select(*out, (rate >= 70).alias("ready"))
+    ids = covered.select("left_id").distinct()
+    met = ids.join(links.select("left_id", F.lit(1).alias("one")).distinct(), "left_id", "left")
+    n = n.crossJoin(met.agg(F.count("*").alias("covered"), F.count("one").alias("covered_matched")))  # one row each
+    on_covered = percent("covered_matched", "covered")
+    return n.select(*out, "covered", percent("covered", "left_total").alias("coverage"), "covered_matched", on_covered.alias("covered_rate"), (on_covered >= 70).alias("ready"))
 
 
 def link_by_priority(*inputs: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.group import GroupedData as DataFrameGroups
 
-from folioloom.operators import catalog, extract, genres, jobs, link, reviews, search, similar, snapshot
+from folioloom.operators import catalog, extract, genres, jobs, link, reviews, samples, search, similar, snapshot
 from folioloom.functions.profile import AXIS_NAMES
 
 CASES = [
@@ -175,3 +176,26 @@ def test_long_chains_stay_in_rounds(spark, monkeypatch):
     pairs = [(1, 1)] + [(k, j) for k in range(2, n + 1) for j in (k - 1, k)]
     df = spark.createDataFrame([(a, a, 100 + b, b, 1.0) for a, b in pairs], "left_id long, left_pos long, right_id long, right_pos long, score double")
     assert {r["left_id"]: r["right_id"] for r in link.one_to_one(df, rounds=2).collect()} == {k: 100 + k for k in range(1, n + 1)}
+
+
+def test_samples_are_the_same_for_any_split(spark):
+    rows = [(i, f"s{i % 3 if i % 7 else 0}") for i in range(500)] + [(None, "s1"), (3, "s0")]
+    df = spark.createDataFrame(rows, "id long, stratum string")
+    got = [sorted((r["stratum"], r["sample_rank"], r["id"]) for r in samples.bottom_k(df.repartition(n), 6, "id", ["stratum"]).collect()) for n in (1, 7, 40)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 18
+    plain = sorted((r for r in rows if r[0] is not None and r[1] == "s2"), key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest())
+    assert [x[2] for x in got[0] if x[0] == "s2"] == [r[0] for r in plain[:6]]
+    plan = samples.bottom_k(df, 6, "id", ["stratum"])._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan[plan.index("Exchange") :]  # each task keeps its least ones before the shuffle
+    assert samples.bottom_k(df.limit(0), 6, "id").count() == 0
+
+
+def test_report_on_covered_records(spark):
+    left, right = (spark.createDataFrame([(i, f"t{i}") for i in range(n)], "id long, title string") for n in (8, 5))
+    links = spark.createDataFrame([(0, 0, 1.0), (1, 1, 0.99)], "left_id long, right_id long, score double")
+    r = link.match_report(left, right, links, spark.createDataFrame([(0,), (1,), (1,), (2,)], "left_id long")).first()
+    assert (r["match_rate"], r["covered"], r["coverage"], r["covered_rate"], r["ready"]) == (25.0, 3, 37.5, 66.67, False)
+    none = link.match_report(left.limit(0), right, links.limit(0), links.limit(0).select("left_id")).first()
+    assert (none["match_rate"], none["coverage"], none["covered_rate"], none["ready"]) == (0.0, 0.0, 0.0, False)
+    kinds = [r["kind"] for r in samples.match_samples(left, right, links, 1, 3, 50).collect()]
+    assert {k: kinds.count(k) for k in set(kinds)} == {"matched": 1, "left unmatched": 3, "right unmatched": 3}

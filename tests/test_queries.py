@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from folioloom.plans import views  # noqa: F401
+from folioloom.plans import reports, views  # noqa: F401
 from folioloom.plans.queries import ORACLE, QUERIES
 
 DATA = "/root/testdata/sf0.001"
