@@ -32,11 +32,12 @@ _LEFT = _sampled("left unmatched", "SELECT work_id AS left_id, title AS left_tit
 _RIGHT = _sampled("right unmatched", "SELECT NULL AS left_id, NULL AS left_title, work_id AS right_id, title AS right_title, NULL AS score FROM plain WHERE work_id % 2 = 1 AND work_id NOT IN (SELECT right_id FROM links)", "right_id", 50)
 
 
-@query(f"{ONE} SELECT * FROM ({_MATCHED}) UNION ALL SELECT * FROM ({_LEFT}) UNION ALL SELECT * FROM ({_RIGHT})")
+@query(f"""{ONE}, s AS (SELECT * FROM ({_MATCHED}) UNION ALL SELECT * FROM ({_LEFT}) UNION ALL SELECT * FROM ({_RIGHT}))
+ SELECT kind, sample_rank, CAST(left_id AS VARCHAR) AS left_id, left_title, CAST(right_id AS VARCHAR) AS right_id, right_title, CAST(score AS DOUBLE) AS score FROM s""")
 def match_samples(spark, d):
     left, right = _sides(spark, d)
     out = samples.match_samples(left, right, link.one_to_one(link.candidates(left, right)))
-    return out.withColumn("sample_rank", F.col("sample_rank").cast("long"))
+    return out.withColumns({"sample_rank": F.col("sample_rank").cast("long"), "left_id": F.col("left_id").cast("string"), "right_id": F.col("right_id").cast("string")})
 
 
 _HIGH = " UNION ALL ".join(f"SELECT '{a}' AS axis, work_id, {a} AS value, top FROM p WHERE {a} >= 8" for a in AXIS_NAMES)
