@@ -3,7 +3,11 @@
 Every page is parsed into blocks. Its containers are scored by the text that they hold, and each page votes with
 these scores on the generalised tag-class paths of its containers; Spark adds the votes up for each host. Then
 every page is extracted again from the containers on its host's winning path. A page without that path, or with
-no text there, uses the containers on its own best path. Where nothing is left but noise, the noise counts as text.
+no text there, uses the containers on its own best path. Titles, leads and parts that stand beside these containers
+in the same article belong to it too (`article_blocks`). Where nothing is left but noise, the noise counts as text.
+
+Pages are read in time linear in their length, whatever is left open or closed twice. Paths name block elements
+only and end after DEPTH of them: what lies deeper is told apart no more, but is extracted all the same.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from folioloom.llm.common import staged
 
 #: Bytes of the hosts' paths up to which they are broadcast, and the parts that each host is dealt to beyond that.
 BROADCAST_BYTES, PARTS = 32 << 20, 64
+#: Block elements that a path names at most.
+DEPTH = 128
 
 # Comments and elements without markup inside run to the end of the page if they are not closed. Elements that are no
 # text either are left out with all they hold if they are closed, and are met as tags of their own if not.
@@ -71,7 +77,9 @@ def blocks(page: str, filtered: bool = True) -> Iterator[tuple[list[str], str, b
     """The blocks of a page that may belong to an article, in order: the paths of the containers around it from the
     outermost, its text with character references decoded and white space collapsed, and whether it is a link alone.
     Unfiltered, blocks in elements that are no part of an article come too."""
-    stack: list[tuple[str, str, bool]] = []  # tag, path, noise
+    stack: list[tuple[str, str, bool, tuple[str, ...]]] = []  # tag, path, noise, paths of the containers
+    opened: dict[str, list[int]] = defaultdict(list)  # where elements of a name stand in the stack
+    block_at: list[int] = []  # where block elements stand in it
     last: dict[str, int] = {}  # where the last end tag of a name stands
     text: list[str] = []
     at = linked = 0
@@ -83,23 +91,25 @@ def blocks(page: str, filtered: bool = True) -> Iterator[tuple[list[str], str, b
             clean = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if clean:
-                yield [p for t, p, _ in stack if t in _HOLDER], clean, linked >= 0.9 * len(clean)
+                yield list(stack[-1][3]) if stack else [], clean, linked >= 0.9 * len(clean)
         linked = 0
 
     def pop(k: int) -> None:
         nonlocal noisy
+        for e in reversed(stack[k:]):
+            opened[e[0]].pop()
         del stack[k:]
+        while block_at and block_at[-1] >= k:
+            block_at.pop()
         noisy = bool(stack) and stack[-1][2]
 
     def end_skipped(tag: str) -> None:
         """Pop what a start tag (or text, without one) shows to be over: a head, or an element that nothing closes."""
         if tag in _BLOCK:
-            k = len(stack)
-            while k and stack[k - 1][0] not in _BLOCK:
-                k -= 1
-            k = next((j for j in range(k, len(stack)) if stack[j][0] in _SKIP and (stack[j][0] not in _NESTED or last[stack[j][0]] < at)), None)
-            if k is not None:
-                pop(k)
+            k = block_at[-1] if block_at else -1
+            over = [next((j for j in opened[t] if j > k), None) for t in _SKIP if opened[t] and (t not in _NESTED or last[t] < at)]
+            if any(j is not None for j in over):
+                pop(min(j for j in over if j is not None))
         elif stack and stack[-1][0] == "head" and tag not in _IN_HEAD:
             pop(len(stack) - 1)
 
@@ -115,17 +125,17 @@ def blocks(page: str, filtered: bool = True) -> Iterator[tuple[list[str], str, b
         if not tag:
             continue
         if m[3]:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+            k = opened[tag][-1] if opened[tag] else None
             if tag in _BLOCK:
                 yield from flush()
-            if k is not None and (tag in _BLOCK or tag in _SKIP or not any(e[0] in _BLOCK for e in stack[k + 1 :])):
+            if k is not None and (tag in _BLOCK or tag in _SKIP or not block_at or block_at[-1] <= k):
                 pop(k)
             continue
         if noisy:
             end_skipped(tag)
         if tag in _BLOCK:
             yield from flush()
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in _BLOCK), None)
+            k = block_at[-1] if block_at else None
             if k is not None and (stack[k][0] == "p" and tag in _ENDS_P or stack[k][0] == tag == "li"):
                 pop(k)
         elif tag == "br":
@@ -136,7 +146,14 @@ def blocks(page: str, filtered: bool = True) -> Iterator[tuple[list[str], str, b
         if tag in _NESTED and tag not in last:
             last[tag] = max((e.start() for e in re.finditer(f"</{tag}\\b", page, re.I)), default=-1)
         noisy = noisy or noise and filtered or tag in _SKIP
-        stack.append((tag, f"{stack[-1][1]}>{name}" if stack else name, noisy))
+        path, around = (stack[-1][1], stack[-1][3]) if stack else ("", ())
+        opened[tag].append(len(stack))
+        if tag in _BLOCK:
+            block_at.append(len(stack))
+            if len(block_at) <= DEPTH:
+                path = f"{path}>{name}" if path else name
+                around = (*around, path) if tag in _HOLDER else around
+        stack.append((tag, path, noisy, around))
     if noisy and stack[-1][0] == "head" and page[at:].strip():
         end_skipped("")
     if at < len(page) and not noisy:
@@ -155,17 +172,53 @@ def container_scores(found: list[tuple[list[str], str, bool]]) -> dict[str, floa
     return by_path
 
 
+def _tag(path: str) -> str:
+    return path.rsplit(">", 1)[-1].split(".", 1)[0]
+
+
+def article_blocks(found: list[tuple[list[str], str, bool]], path: str) -> list[str]:
+    """The texts of the blocks in containers on the path, and of those beside them that belong to the same article.
+    Containers inside them whose text is links for the half or more are left out, but in `article` elements. Besides:
+
+    - in an `article` element around the containers, all blocks;
+    - in the outermost other container (without an `article` element, any but the body; else `main`) that has text of
+      its own, which no inner container holds: this text, and inner containers that aren't links for the half;
+    - without an `article` element, text of the body's own up to the containers' last block, but no links alone. What
+      stands behind them there is taken for a footer, other containers in the body for something else.
+
+    The path must be that of a container around some block.
+    """
+    outer = next(around[: around.index(path)] for around, _, _ in found if path in around)
+    whole = next((p for p in (*outer, path) if _tag(p) == "article"), None)
+    own = {around[-1] for around, _, link in found if around and not link}
+    top = next((p for p in outer if _tag(p) != "body" and p in own and (whole is None or _tag(p) == "main")), None)
+    total: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+    for around, text, link in found:
+        if around:
+            total[around[-1]][link] += len(text)
+    inner, direct = {path, whole}, {path, *(() if top is None else outer[outer.index(top) :])}
+    end = max(k for k, (around, _, _) in enumerate(found) if inner & set(around))
+    kept = []
+    for k, (around, text, link) in enumerate(found):
+        if whole is not None and whole in around:
+            kept.append(text)
+        elif path in around or top is not None and top in around:
+            plain, links = total[around[-1]]
+            if around[-1] in direct or plain > links:
+                kept.append(text)
+        elif whole is None and not link and k < end and around and _tag(around[-1]) == "body" and around[-1] in outer:
+            kept.append(text)
+    return kept
+
+
 def extract(page: str | None, path: str | None) -> str:
-    """The text of the page's containers on the path, else of those on its own best path, else of the whole page. A page
-    that has no text but in elements taken for noise is read with them."""
+    """The text of the article in the page's containers on the path, else in those on its own best path, else of the
+    whole page. A page that has no text but in elements taken for noise is read with them."""
     found = list(blocks(page or "")) or list(blocks(page or "", filtered=False))
-    if path is not None and (kept := [t for around, t, _ in found if path in around]):
-        return "\n\n".join(kept)
-    scores = container_scores(found)
-    if scores:
-        best = max(scores, key=scores.get)  # of equal ones the first in the page
-        return "\n\n".join(t for around, t, _ in found if best in around)
-    return "\n\n".join(t for _, t, _ in found)
+    if path is None or not any(path in around for around, _, _ in found):
+        scores = container_scores(found)
+        path = max(scores, key=scores.get) if scores else None  # of equal ones the first in the page
+    return "\n\n".join([t for _, t, _ in found] if path is None else article_blocks(found, path))
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -311,6 +311,42 @@ def test_html_pages_meet_the_paths_of_their_hosts(spark, monkeypatch):
     assert rows() == small and len(small) == 60
 
 
+def _planted_pages():
+    """Pages of four hosts with their main text: layouts that keep title, lead or parts outside the container with most text."""
+    rng = random.Random(5)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    noise = lambda: rng.choice([f"<nav><a href=/>{words(3)}</a></nav>", f"<div class='sidebar'><p>{words(30)}</p></div>", f"<div class=ad>{words(9)}</div>", f"<aside>{words(20)}</aside>", ""])
+    for k in range(120):
+        title, lead, body, more = words(5), words(20), [words(60) for _ in range(rng.randint(1, 5))], [words(15) for _ in range(2)]
+        ps = lambda texts: "".join(f"<p>{t}</p>" for t in texts)
+        head, links = f"<h1>{title}</h1><p>{lead}</p>", f"<div class=x><a href=/1>{words(4)}</a></div>"
+        html = {
+            0: f"<article>{head}<div class='body'>{ps(body)}</div>{noise()}{ps(more)}</article>",
+            1: f"<article>{head}<section>{ps(body)}</section><section class='b{k}'>{ps(more)}</section></article>",
+            2: f"<div class='content'>{head}<div class='text'>{ps(body)}</div>{links}<div class='end'>{ps(more)}</div></div><div class=right>{words(8)}</div>",
+            3: f"{head}<div class='text-{k}'>{ps(body + more)}</div><p>Copyright {words(3)}</p>",
+        }[k % 4]
+        yield k, f"http://host{k % 4}.example/{k}", f"<html><body>{noise()}{html}{noise()}<footer>{words(6)}</footer></body></html>", "\n\n".join([title, lead, *body, *more])
+
+
+def test_html_keeps_what_stands_beside_the_inner_container(spark):
+    """Against the texts that the pages were made from: each host has a layout of its own."""
+    pages = list(_planted_pages())
+    got = {r["page_id"]: r["text"] for r in html_text.main_texts(spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")).collect()}
+    assert got == {k: text for k, _, _, text in pages}
+    mixed = spark.createDataFrame([(k, "http://one.example/", page) for k, _, page, _ in pages if k % 4 != 3], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_text.main_texts(mixed).collect()} == {k: text for k, _, _, text in pages if k % 4 != 3}
+
+
+def test_html_open_elements_and_stray_ends_are_linear():
+    for part in ("<i>a</b>", "<i>a<p>b</u>", "<div>a</section>", "<b><template><p>a"):
+        start = time.perf_counter()
+        html_text.extract("<body>" + part * 8000, None)
+        assert time.perf_counter() - start < 3, part
+    deep = "<body>" + "<div>word" * 1000
+    assert html_text.extract(deep, None).count("word") == 1000
+
+
 def test_html_elements_that_are_not_closed():
     cases = {
         '<p>one</p><svg class="i"/><p>two</p><p>three</p>': "one|two|three", '<p>one</p><svg class="i"/><p>two</p><svg><path d="M0"/>no</svg><p>three</p>': "one|two|three",
