@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from folioloom.functions import fuzzy
 from folioloom.functions.text import normalize_authors, normalize_title
+from folioloom.operators import near
 from folioloom.operators.staging import written
 
 THRESHOLD, EXACT, STRONG_TOKEN = 0.98, 0.995, 5
@@ -156,16 +157,27 @@ def link_by_priority(*inputs: DataFrame) -> DataFrame:
     return every.filter("right_id is not null").withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
 
 
-def hint_link(files: DataFrame, records: DataFrame, least: float = 0.85) -> DataFrame:
-    """files(name, prefix, hint) to record ids: by the prefix where it is an id, else by the best token-sorted ratio
-    of hint and title among records that share a token with it."""
-    exact = files.join(records.select(F.col("id").alias("record_id")), files["prefix"] == F.col("record_id")).select("name", "record_id", F.lit(1.0).alias("score"))
-    rest = files.join(exact.select("name"), "name", "left_anti")
-    words = lambda c: F.explode(F.array_distinct(F.split(F.lower(c), r"\s+")))
-    pairs = rest.select("name", "hint", words(F.col("hint")).alias("w")).join(records.select(F.col("id").alias("record_id"), "title", words(F.col("title")).alias("w")), "w").select("name", "hint", "record_id", "title").distinct()
-    scored = pairs.withColumn("score", fuzzy.token_sort_ratio(F.lower("hint"), F.lower("title"))).filter(F.col("score") >= least)
-    w = Window.partitionBy("name").orderBy(F.col("score").desc(), "record_id")
-    return exact.unionByName(scored.withColumn("n", F.row_number().over(w)).filter("n = 1").select("name", "record_id", "score"))
+def hint_link(files: DataFrame, records: DataFrame, least: float = 0.85, place: str | None = None) -> DataFrame:
+    """files(name, prefix, hint) to records(id, title): name, record_id, score, by.
+
+    By the prefix where it is an id (score 1); else by the hint, to the title with the best token-sorted ratio of the
+    normal forms, from `least`, the smallest id among equals; else, where `place` names a column of records with their
+    places from 1, by the prefix as a place (no score). Equal titles and equal hints are compared once.
+    """
+    ids = records.select(F.col("id").alias("record_id"), F.col("id").cast("string").alias("prefix"))
+    exact = files.select("name", F.col("prefix").cast("string").alias("prefix")).join(ids, "prefix").select("name", "record_id", F.lit(1.0).alias("score"), F.lit("id").alias("by"))
+    key = lambda c: _sorted_tokens(normalize_title(F.col(c)))
+    rest = files.join(exact.select("name"), "name", "left_anti").withColumn("hint_key", key("hint"))
+    titles = records.groupBy(key("title").alias("b")).agg(F.min("id").alias("record_id"))
+    pairs = near.near_pairs(near.sides(rest.select(F.col("hint_key").alias("s")), titles.select(F.col("b").alias("s"))), least)
+    best = pairs.join(titles, "b").groupBy(F.col("a").alias("hint_key")).agg(F.min(F.struct((-F.col("score")).alias("less"), "record_id")).alias("best"))
+    hinted = rest.join(best, "hint_key").select("name", F.col("best.record_id").alias("record_id"), (-F.col("best.less")).alias("score"), F.lit("hint").alias("by"))
+    out = exact.unionByName(hinted)
+    if place is None:
+        return out
+    left = rest.join(hinted.select("name"), "name", "left_anti").select("name", F.expr("try_cast(prefix as bigint)").alias("place"))
+    placed = left.join(records.select(F.col("id").alias("record_id"), F.col(place).cast("bigint").alias("place")), "place")
+    return out.unionByName(placed.select("name", "record_id", F.lit(None).cast("double").alias("score"), F.lit("place").alias("by")))
 
 
 def audit_links(works: DataFrame, targets: DataFrame, links: DataFrame) -> DataFrame:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from folioloom.functions import fuzzy
 from folioloom.functions.text import search_normalize, stem, tokenize
+from folioloom.operators import near
 from folioloom.operators.catalog import places
+from folioloom.operators.staging import written
 
 LEAST_TEXT, LEAST_GENRE = 0.55, 0.5
 
@@ -27,17 +29,18 @@ def token_lookup(hits: DataFrame, queries: DataFrame) -> DataFrame:
 
 def resolve_genres(genres: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted(query_id, needle) to genres(name): equal names, else names where one holds the other, else the single
-    closest by partial ratio from .88. Genres are few (distinct names), so containment runs on them alone."""
-    g = genres.select("name", F.lower("name").alias("low"))
-    w = wanted.select("query_id", "needle", F.lower(F.trim("needle")).alias("n")).distinct()
+    closest by partial ratio from .88, the first by name among equals. Pairs come from joins on rare q-grams."""
+    g = written(genres.select("name", F.lower("name").alias("low")), "genres")
+    w = written(wanted.select("query_id", "needle", F.lower(F.trim("needle")).alias("n")).distinct(), "wanted")
+    strings = near.sides(w.select(F.col("n").alias("s")), g.select(F.col("low").alias("s")))
+    both = lambda open_, pairs: open_.join(pairs, open_["n"] == pairs["a"]).join(g, F.col("b") == F.col("low"))
     equal = w.join(g, w["n"] == g["low"]).select("query_id", "needle", "name", F.lit(0).alias("tier"))
     rest = w.join(equal.select("query_id", "needle"), ["query_id", "needle"], "left_anti")
-    held = rest.join(g, F.col("low").contains(F.col("n")) | F.col("n").contains(F.col("low"))).select("query_id", "needle", "name", F.lit(1).alias("tier"))
+    held = written(both(rest, near.contained_pairs(strings)).select("query_id", "needle", "name", F.lit(1).alias("tier")), "held")
     rest = rest.join(held.select("query_id", "needle"), ["query_id", "needle"], "left_anti")
-    near = rest.join(g, F.lit(True)).withColumn("r", fuzzy.partial_ratio("n", "low")).filter("r >= 0.88")
-    best = Window.partitionBy("query_id", "needle").orderBy(F.col("r").desc(), "name")
-    near = near.withColumn("k", F.row_number().over(best)).filter("k = 1").select("query_id", "needle", "name", F.lit(2).alias("tier"))
-    return equal.unionByName(held).unionByName(near)
+    like = both(rest, near.partial_pairs(strings, 0.88))
+    best = like.groupBy("query_id", "needle").agg(F.min(F.struct((-F.col("score")).alias("less"), "name"))["name"].alias("name"))
+    return equal.unionByName(held).unionByName(best.select("query_id", "needle", "name", F.lit(2).alias("tier")))
 
 
 def prepare(works: DataFrame) -> DataFrame:
@@ -75,13 +78,17 @@ def text_score(rows: DataFrame, fuzzy_tail: bool = True) -> DataFrame:
 
 
 def genre_scores(genres: DataFrame, wanted: DataFrame) -> DataFrame:
-    """query_id, needle, name, score: 1 for equal names, .88 if one holds the other, else .72 of the partial ratio.
-    Worked out once for each wanted name and each distinct genre."""
-    w = wanted.select("query_id", "needle", F.lower(F.trim("needle")).alias("n")).distinct()
-    both = genres.select("name", F.lower("name").alias("low")).join(w, F.lit(True))
-    held = F.when(F.col("low") == F.col("n"), 1.0).when(F.col("low").contains(F.col("n")) | F.col("n").contains(F.col("low")), 0.88)
-    score = F.coalesce(held, 0.72 * fuzzy.partial_ratio("n", F.when(held.isNull(), F.col("low"))))
-    return both.select("query_id", "needle", "name", F.round(score, 3).alias("score")).filter(F.col("score") >= LEAST_GENRE)
+    """query_id, needle, name, score: 1 for equal names, .88 if one holds the other, else .72 of the partial ratio, from
+    LEAST_GENRE. Worked out once for each wanted text and each distinct genre, for pairs that share rare q-grams."""
+    w = written(wanted.select("query_id", "needle", F.lower(F.trim("needle")).alias("n")).distinct(), "wanted")
+    g = written(genres.select("name", F.lower("name").alias("low")), "genres")
+    strings = near.sides(w.select(F.col("n").alias("s")), g.select(F.col("low").alias("s")))
+    held = near.contained_pairs(strings).select("a", "b", F.when(F.col("a") == F.col("b"), 1.0).otherwise(0.88).alias("held"))
+    least = (LEAST_GENRE - 0.0005) / 0.72  # scores are rounded to 3 digits before they are compared
+    pairs = held.join(near.partial_pairs(strings, least), ["a", "b"], "full")
+    score = F.round(F.coalesce("held", 0.72 * F.col("score")), 3)
+    pairs = pairs.select("a", "b", score.alias("score")).filter(F.col("score") >= LEAST_GENRE)
+    return w.join(pairs, w["n"] == pairs["a"]).join(g, F.col("b") == F.col("low")).select("query_id", "needle", "name", "score")
 
 
 def relevance(text: Column, genre: Column, rating: Column, has_query: Column) -> Column:

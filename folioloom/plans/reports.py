@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from folioloom.functions.profile import AXIS_NAMES
 from folioloom.operators import link, samples, staging
 from folioloom.plans import fixtures as fx
-from folioloom.plans.queries import ONE, PROFILES, _sides, query
+from folioloom.plans.queries import ONE, PAIRS, PROFILES, _sides, query
 from folioloom.plans.views import _VALUES
 
 
@@ -49,3 +49,25 @@ def axis_samples(spark, d):
     # written, as a profile index is: 22 computed axes in each of 22 strata make too large an expression
     profiles = staging.written(fx.profiles(spark, d).drop("embedding").withColumn("summary", F.array_join("themes", " ")), "profiles")
     return samples.axis_samples(profiles).withColumn("top", F.array_join("top", "|")).withColumn("sample_rank", F.col("sample_rank").cast("long"))
+
+
+# Saved files named after works: each part gives one. Its prefix is the id of a record (odd parts, every third), else its
+# part number as a place; the hint is the title with its words turned round and a letter that no title has behind them (of
+# odd parts but every fifth, whose titles are records'). A title that lacks only that letter is the best that such a hint can have.
+@query(f"""{PAIRS}, r AS (SELECT work_id, ts FROM n WHERE work_id % 2 = 1), t AS (SELECT ts, length(array_to_string(ts, ' ')) AS len, min(work_id) AS record_id FROM r GROUP BY ts),
+ f AS (SELECT work_id AS name, work_id % 2 = 1 AND work_id % 3 = 0 AS known, work_id % 2 = 1 AND work_id % 5 <> 0 AS hinted, ts FROM n)
+ SELECT name, CASE WHEN known THEN name WHEN hinted THEN t.record_id ELSE 2 * name + 1 END AS record_id,
+ CASE WHEN known THEN 1.0 WHEN hinted THEN round(2.0 * len / (2 * len + 1), 6) END AS score,
+ CASE WHEN known THEN 'id' WHEN hinted THEN 'hint' ELSE 'place' END AS "by" FROM f LEFT JOIN t USING (ts)
+ WHERE known OR hinted OR 2 * name + 1 IN (SELECT work_id FROM r)""")
+def hint_links(spark, d):
+    works = fx.plain_works(spark, d)
+    _, right = _sides(spark, d)
+    known = (F.col("work_id") % 2 == 1) & (F.col("work_id") % 3 == 0)
+    turned = F.concat(F.array_join(F.reverse(F.split("title", " ")), " "), F.lit("q"))
+    files = works.select(
+        F.col("work_id").alias("name"), F.when(known, F.col("work_id").cast("string")).otherwise(F.concat(F.col("work_id").cast("string"), F.lit(" "))).alias("prefix"),
+        F.when((F.col("work_id") % 2 == 1) & (F.col("work_id") % 5 != 0), turned).alias("hint"),
+    )
+    records = right.withColumn("place", (F.col("id") - 1) / 2)
+    return link.hint_link(files, records, place="place").withColumn("score", F.round("score", 6))

@@ -316,7 +316,7 @@ def _blend(mode: str) -> str:
 def _with_bases(spark, d):
     p = fx.profiles(spark, d)
     b = p.filter("work_id % 100 = 0").select(*(F.col(c).alias(f"other_{c}") for c in p.columns))
-    return p.join(F.broadcast(b), F.col("work_id") != F.col("other_work_id"))  # a stated query set: one row in 100
+    return p.join(b, F.col("work_id") != F.col("other_work_id"))  # a stated query set: one row in 100
 
 
 @query(_BASES + ", r AS (SELECT b.work_id AS base_id, a.work_id, unnest([" + ", ".join(f"{{'mode': '{m}', 'score': {_blend(m)}}}" for m in similar.ALL_MODES) + "], recursive := true) FROM profiles a JOIN b ON a.work_id <> b.work_id) SELECT base_id, work_id, mode, round(score, 4) + 0.0::DOUBLE AS score FROM r")
@@ -346,7 +346,7 @@ def index_scores(spark, d):
 def label_likeness(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("work_id"), F.col("label").cast("string").alias("label"))
     b = e.filter("work_id % 100 = 0").select(F.col("work_id").alias("base_id"), F.col("label").alias("base_label"))
-    both = e.join(F.broadcast(b), F.col("work_id") != F.col("base_id"))
+    both = e.join(b, F.col("work_id") != F.col("base_id"))
     score = similar.label_similarity([(F.col("label"), F.col("base_label")), (F.lit("Same"), F.lit("same ")), (F.lit(""), F.col("label"))])
     return both.select("base_id", "work_id", score.alias("score"))
 

@@ -104,7 +104,7 @@ def test_stable_ids(spark):
 
 
 def test_hint_link(spark):
-    files = spark.createDataFrame([("f1", "r2", "whatever"), ("f2", "zz", "the great Dune"), ("f3", "zz", "nothing alike")], "name string, prefix string, hint string")
+    files = spark.createDataFrame([("f1", "r2", "whatever"), ("f2", "zz", "great the Dune"), ("f3", "zz", "nothing alike")], "name string, prefix string, hint string")
     records = spark.createDataFrame([("r1", "Dune the great"), ("r2", "Other book"), ("r3", "great")], "id string, title string")
     got = {r["name"]: (r["record_id"], round(r["score"], 3)) for r in link.hint_link(files, records).collect()}
     assert got == {"f1": ("r2", 1.0), "f2": ("r1", 1.0)}
