@@ -106,7 +106,7 @@ def search(works: DataFrame, hits: DataFrame, genre_works: DataFrame, genres: Da
     """
     q = queries.select("query_id", F.trim(F.coalesce("query", F.lit(""))).alias("query"), F.coalesce("genres", F.array().cast("array<string>")).alias("genres"))
     wanted = q.select("query_id", F.explode("genres").alias("needle"))
-    resolved = resolve_genres(genres, wanted)
+    resolved = written(resolve_genres(genres, wanted), "resolved")  # read by four parts below
     by_needle = genre_works.select(F.col("genre").alias("name"), "pos").join(resolved, "name").select("query_id", "needle", "pos").distinct()
     need = q.select("query_id", F.size(F.array_distinct("genres")).alias("needs"))
     with_genre = by_needle.groupBy("query_id", "pos").agg(F.count("*").alias("has")).join(need, "query_id")
@@ -120,7 +120,7 @@ def search(works: DataFrame, hits: DataFrame, genre_works: DataFrame, genres: Da
     chosen = only_text.unionByName(both).unionByName(only_genre).unionByName(bare).join(q, "query_id").withColumnRenamed("genres", "filters")
     rows = prepare(works).join(chosen, "pos")
     rows = text_score(rows, fuzzy_tail).filter((F.col("query") == "") | (F.col("text_score") >= LEAST_TEXT))
-    per = genre_works.select(F.col("genre").alias("name"), "pos").join(genre_scores(genres, wanted), "name").groupBy("query_id", "pos", "needle").agg(F.max("score").alias("s")).groupBy("query_id", "pos").agg(F.sum("s").alias("genre_sum"))
+    per = genre_works.select(F.col("genre").alias("name"), "pos").join(written(genre_scores(genres, wanted), "genre-scores"), "name").groupBy("query_id", "pos", "needle").agg(F.max("score").alias("s")).groupBy("query_id", "pos").agg(F.sum("s").alias("genre_sum"))
     rows = rows.join(per, ["query_id", "pos"], "left")
     part = F.when(F.size("filters") == 0, 1.0).otherwise(F.coalesce("genre_sum", F.lit(0.0)) / F.size("filters"))
     bare_rel = F.round(F.coalesce("aggregate_rating", F.lit(0.0)), 1)
