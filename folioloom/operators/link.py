@@ -6,6 +6,9 @@ run only on pairs that share an author key and have titles long enough to be nea
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,12 +91,11 @@ def match_with_candidates(pairs: DataFrame, pool: DataFrame | None = None, thres
     return best_match(every.groupBy("left_id", "left_pos", "right_id").agg(F.min("right_pos").alias("right_pos"), F.max("score").alias("score")), threshold)
 
 
-def one_to_one(pairs: DataFrame, rounds: int = 12) -> DataFrame:
+def one_to_one(pairs: DataFrame, size: int | None = None) -> DataFrame:
     """Left records in order take their best right record that no earlier one took: left_id, right_id, score.
 
     Records that share all of their candidates with one score (equal title and author) form tied blocks, where the k-th left takes the
-    k-th right. The rest is settled by deferred acceptance: each left proposes to its best right that has not refused
-    it, each right keeps its earliest left, until nobody is refused. Both give the sequential result.
+    k-th right. The rest is settled by deferred acceptance between ranges of left records. Both give the sequential result.
     """
     pairs = written(pairs.filter(F.col("score") >= THRESHOLD), "pairs")  # read by every step below
     sets = pairs.groupBy("left_id", "left_pos").agg(F.array_sort(F.collect_set(F.struct("right_pos", "right_id", "score"))).alias("choices"))
@@ -107,24 +109,49 @@ def one_to_one(pairs: DataFrame, rounds: int = 12) -> DataFrame:
     rights = one.filter("tied").select("block", "right_id", "right_pos", "score").distinct().withColumn("k", F.row_number().over(Window.partitionBy("block").orderBy("right_pos", "right_id")))
     settled = lefts.join(rights, ["block", "k"]).select("left_id", "right_id", "score")
     open_ = written(one.filter(~F.col("tied")).select("left_id", "left_pos", "right_id", "right_pos", "score"), "open")
-    return settled.unionByName(_deferred(open_, rounds))
+    return settled.unionByName(_deferred(open_, size))
+
+
+#: Pairs of one range of left records in `_deferred`. A task streams them and keeps only the rights that it gave away.
+RANGE = 1_000_000
+
 
+def _served_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs sorted by left record and preference the pairs that are taken, if each left takes its first right that
+    no earlier left of this task has taken."""
+    taken, served = set(), None
+    for batch in batches:
+        keep = []
+        for n, (pos, left, right) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("left_pos", "left_id", "right_id")))):
+            if (pos, left) != served and right not in taken:
+                taken.add(right)
+                served = (pos, left)
+                keep.append(n)
+        yield batch.take(pa.array(keep, pa.int64()))
 
-def _deferred(pairs: DataFrame, rounds: int) -> DataFrame:
-    """Rounds until nobody is refused, each round's proposals written once; after every `rounds` rounds what is left is
-    written too, so that plans stay short. A chain of refusals takes as many rounds as it is long."""
-    asks = Window.partitionBy("left_id").orderBy(F.col("score").desc(), "right_pos", "right_id")
-    takes = Window.partitionBy("right_id").orderBy("left_pos", "left_id")
-    alive, done = pairs, 0
+
+def _deferred(pairs: DataFrame, size: int | None) -> DataFrame:
+    """The sequential result in rounds: each range of left records serves itself in order, then each right keeps its
+    earliest left and refuses all later ones.
+
+    A right's holder is only ever replaced by an earlier left, so refusals stand and the order of proposals doesn't
+    matter. Ranges of some `size` pairs are cut once; after k rounds the first k of them can't change, so there are at most
+    as many rounds as ranges, and no more than a chain of refusals crosses ranges. Each round's choices and open pairs
+    are written once.
+    """
+    order = ["left_pos", "left_id", F.col("score").desc(), "right_pos", "right_id"]
+    earlier = Window.partitionBy("right_id").orderBy("left_pos", "left_id")
+    ranges = max(1, -(-pairs.count() // (size or RANGE)))
+    alive = pairs.repartitionByRange(ranges, "left_pos", "left_id").withColumn("range", F.spark_partition_id())
+    alive = written(alive, "pairs") if ranges > 1 else alive
     while True:
-        first = alive.withColumn("n", F.row_number().over(asks)).filter("n = 1")
-        best = written(first.withColumn("m", F.row_number().over(takes)), "best")
-        refused = best.filter("m > 1").select("left_id", "right_id")
-        if refused.isEmpty():
+        served = alive.repartition(ranges, "range").sortWithinPartitions(*order).mapInArrow(_served_in_order, alive.schema)
+        best = written(served.withColumn("m", F.row_number().over(earlier)), "best")
+        if ranges == 1 or best.filter("m > 1").isEmpty():
             return best.select("left_id", "right_id", "score")
-        alive, done = alive.join(refused, ["left_id", "right_id"], "left_anti"), done + 1
-        if done % rounds == 0:
-            alive = written(alive, "pairs")
+        holder = best.filter("m = 1").select("right_id", F.struct("left_pos", "left_id").alias("holder"))
+        kept = alive.join(holder, "right_id", "left").filter(F.col("holder").isNull() | (F.struct("left_pos", "left_id") <= F.col("holder")))
+        alive = written(kept.select(*alive.columns), "pairs")
 
 
 def match_report(left: DataFrame, right: DataFrame, links: DataFrame, covered: DataFrame | None = None) -> DataFrame:

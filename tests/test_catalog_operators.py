@@ -47,7 +47,7 @@ def test_one_to_one_is_the_sequential_greedy(spark, seed):
             want[a] = min(free)[1]
             used.add(want[a])
     assert {r["left_id"]: r["right_id"] for r in link.one_to_one(df).collect()} == want
-    assert {r["left_id"]: r["right_id"] for r in link.one_to_one(df, rounds=1).collect()} == want
+    assert {r["left_id"]: r["right_id"] for r in link.one_to_one(df, size=3).collect()} == want
 
 
 def test_genre_rules(spark):
@@ -169,13 +169,33 @@ def test_neighbors_in_blocks_of_bounded_size(spark, monkeypatch):
     assert seen.value >= 100  # 12 blocks against 12, some of them empty
 
 
-def test_long_chains_stay_in_rounds(spark, monkeypatch):
-    """Each left but the first is refused once more than the one before: no group of pairs goes to one task."""
+@pytest.mark.parametrize("size, most", [(None, 1), (2500, 9)])
+def test_long_chains_take_few_rounds(spark, monkeypatch, size, most):
+    """Each of 10 000 lefts is refused because the one before was: as many rounds as ranges, and no group of pairs in one task."""
     monkeypatch.setattr(DataFrameGroups, "applyInPandas", None)
-    n = 5
-    pairs = [(1, 1)] + [(k, j) for k in range(2, n + 1) for j in (k - 1, k)]
-    df = spark.createDataFrame([(a, a, 100 + b, b, 1.0) for a, b in pairs], "left_id long, left_pos long, right_id long, right_pos long, score double")
-    assert {r["left_id"]: r["right_id"] for r in link.one_to_one(df, rounds=2).collect()} == {k: 100 + k for k in range(1, n + 1)}
+    n, rounds, plain = 10_000, [], link.written
+    monkeypatch.setattr(link, "written", lambda df, name: (rounds.append(name) if name == "best" else None, plain(df, name))[1])
+    ids = spark.range(1, n + 1).select(F.col("id").alias("left_id"), F.explode(F.when(F.col("id") == 1, F.array("id")).otherwise(F.array(F.col("id") - 1, F.col("id")))).alias("right_pos"))
+    df = ids.select("left_id", F.col("left_id").alias("left_pos"), (100_000 + F.col("right_pos")).alias("right_id"), "right_pos", F.lit(1.0).alias("score"))
+    got = link.one_to_one(df, size)
+    assert got.count() == n and got.filter("right_id != 100000 + left_id").count() == 0
+    assert 1 <= len(rounds) <= most
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_one_to_one_over_ranges_is_the_sequential_greedy(spark, seed):
+    """Larger random pairs with ties of score and place, text ids and one right that all want, cut into many ranges."""
+    rnd = random.Random(seed)
+    pairs = {(f"l{rnd.randrange(300)}", f"r{rnd.randrange(200)}"): rnd.choice([0.98, 0.99, 1.0]) for _ in range(900)} | {(f"l{k}", "hot"): 1.0 for k in range(300)}
+    place = lambda x: int(x[1:]) // 3 if x != "hot" else 0
+    used, want = set(), {}
+    for a in sorted({a for a, _ in pairs}, key=lambda a: (place(a), a)):
+        free = [(-s, place(b), b) for (x, b), s in pairs.items() if x == a and b not in used]
+        if free:
+            want[a] = min(free)[2]
+            used.add(want[a])
+    df = spark.createDataFrame([(a, place(a), b, place(b), s) for (a, b), s in pairs.items()], "left_id string, left_pos long, right_id string, right_pos long, score double")
+    assert {r["left_id"]: r["right_id"] for r in link.one_to_one(df, 100).collect()} == want
 
 
 def test_samples_are_the_same_for_any_split(spark):
