@@ -8,7 +8,8 @@ from folioloom.functions.profile import AXIS_NAMES
 from folioloom.operators import link, samples, staging
 from folioloom.plans import fixtures as fx
 from folioloom.plans.queries import ONE, PAIRS, PROFILES, _sides, query
-from folioloom.plans.views import _VALUES
+from folioloom.plans.views import _DERIVED, _VALUES, _VIEW, _bare_profiles
+from folioloom.sources.profile_index import ProfileIndex
 
 
 @query(f"""{ONE}, c AS (SELECT DISTINCT left_id FROM pairs), t AS (SELECT count(*) FILTER (work_id % 2 = 0) AS left_total, count(*) FILTER (work_id % 2 = 1) AS right_total,
@@ -71,3 +72,25 @@ def hint_links(spark, d):
     )
     records = right.withColumn("place", (F.col("id") - 1) / 2)
     return link.hint_link(files, records, place="place").withColumn("score", F.round("score", 6))
+
+
+# Profiles as files in four folders. Of every fiftieth the line breaks off; then the files of the last folder are replaced by
+# whole lines with another summary, and the index is built again.
+@query(f"""{_VIEW} SELECT work_id, CASE WHEN work_id % 4 = 3 THEN 'new' ELSE 'old' END AS summary, CASE WHEN work_id % 2 = 1 THEN array_to_string(tropes, '|') ELSE {_DERIVED} END AS tropes, CAST(NULL AS VARCHAR) AS reason
+ FROM p WHERE work_id % 4 = 3 OR work_id % 50 <> 7 UNION ALL SELECT NULL, NULL, NULL, 'malformed' FROM p WHERE work_id % 4 <> 3 AND work_id % 50 = 7""")
+def profile_index(spark, d):
+    profiles, works = _bare_profiles(spark, d)
+    folder, part = staging.fresh(spark, "profile-files"), F.col("work_id") % 4
+
+    def save(rows, summary, broken, part):
+        line = F.to_json(F.struct(*rows.drop("embedding").columns, F.lit(summary).alias("summary")))
+        half = F.left(line, F.floor(F.length(line) / 2).cast("int"))
+        rows.select(part.alias("part"), F.when(broken, half).otherwise(line).alias("value")).write.partitionBy("part").mode("overwrite").option("partitionOverwriteMode", "dynamic").text(folder)
+
+    index = ProfileIndex(spark, folder, staging.fresh(spark, "profile-index"))
+    save(profiles, "old", F.col("work_id") % 50 == 7, part)
+    index.build(works)
+    save(profiles.filter(part == 3), "new", F.lit(False), part)
+    index.build(works)
+    rows = index.read().select("work_id", "summary", F.array_join("tropes", "|").alias("tropes"), F.lit(None).cast("string").alias("reason"))
+    return rows.unionByName(index.bad().select("reason"), allowMissingColumns=True)
