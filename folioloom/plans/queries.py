@@ -390,9 +390,15 @@ def neighbors_ideas(spark, d):
     return out.select("work_id", "mode", F.round("score", 4).alias("score"))
 
 
-@query()
+_EVERY_MODE = ", ".join(f"{{'mode': '{m}', 'score': round({_fast_sql(m)}, {similar.DIGITS})}}" for m in similar.ALL_MODES)
+
+
+@query(f"""WITH {PROFILES}, s AS (SELECT b.work_id, a.work_id AS neighbor_id, unnest([{_EVERY_MODE}], recursive := true) FROM profiles a JOIN profiles b ON a.work_id <> b.work_id),
+ r AS (SELECT *, row_number() OVER (PARTITION BY work_id, mode ORDER BY score DESC, neighbor_id) AS rank FROM s WHERE score > 0.05)
+ SELECT work_id, mode, rank, neighbor_id, round(score, 4) AS score FROM r WHERE rank <= 20""")
 def neighbors_top20(spark, d):
-    return similar.neighbors(fx.profiles(spark, d))
+    out = similar.neighbors(fx.profiles(spark, d))
+    return out.select("work_id", "mode", F.col("rank").cast("long").alias("rank"), "neighbor_id", F.round("score", 4).alias("score"))
 
 
 # Profiles

@@ -169,6 +169,26 @@ def test_neighbors_in_blocks_of_bounded_size(spark, monkeypatch):
     assert seen.value >= 100  # 12 blocks against 12, some of them empty
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_neighbors_skip_blocks_and_lose_none(spark, monkeypatch, seed):
+    """Profiles in groups that are alike: most pairs of blocks are skipped, and ids, ties and ranks are those of all pairs."""
+    rnd, rows = random.Random(seed), []
+    for group in range(12):
+        middle = [rnd.choice((1, 2, 9, 10)) for _ in AXIS_NAMES]
+        themes, tropes = ([f"{kind}{group % 6}", f"{kind}{group}x"] for kind in ("theme", "trope"))
+        rows += [(group * 100 + i, *(min(10, max(1, v + rnd.randint(-1, 1))) for v in middle), rnd.sample(themes, 1), tropes) for i in range(25)]
+    rows += [(5000 + i, *rows[0][1:]) for i in range(6)] + [(6000, *(None for _ in AXIS_NAMES), None, None), (6001, *(0 for _ in AXIS_NAMES), [], [" "])]
+    df = spark.createDataFrame(rows, f"work_id long, {', '.join(f'{n} int' for n in AXIS_NAMES)}, themes array<string>, tropes array<string>")
+    tables, plain = {}, similar.written
+    monkeypatch.setattr(similar, "written", lambda d, name: tables.setdefault(name, plain(d, name)) if name == "block-pairs" else plain(d, name))
+    key = lambda x: sorted((r["work_id"], r["mode"], r["rank"], r["neighbor_id"], r["score"]) for r in x)
+    want = key(similar.neighbors(df, k=5, blocks=1).collect())
+    assert key(similar.neighbors(df, k=5, blocks=36).collect()) == want
+    scored = tables["block-pairs"].agg(F.count("*"), F.sum(F.size(F.filter("live", lambda x: x)))).first()
+    assert scored[0] < 0.1 * 36 * 35 and scored[1] < 0.1 * 36 * 35 * 7, scored  # of all pairs of different blocks, and of these in all modes
+    assert similar.neighbors(df.limit(0), k=5).count() == 0 and similar.neighbors(df.limit(1), k=5, blocks=3).count() == 0
+
+
 @pytest.mark.parametrize("size, most", [(None, 1), (2500, 9)])
 def test_long_chains_take_few_rounds(spark, monkeypatch, size, most):
     """Each of 10 000 lefts is refused because the one before was: as many rounds as ranges, and no group of pairs in one task."""
