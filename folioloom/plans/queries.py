@@ -378,9 +378,7 @@ def cosine_combined(spark, d):
 @query(f"WITH {PROFILES}, b AS (SELECT * FROM profiles WHERE work_id % 100 = 0), s AS (SELECT b.work_id AS base_id, a.work_id, round({_fast_sql('ideas')}, 12) AS score, a.author = b.author AS same FROM profiles a JOIN b ON a.work_id <> b.work_id), l AS (SELECT base_id, work_id, same, CASE WHEN same THEN 0.2 * score ELSE score END AS score, row_number() OVER (PARTITION BY base_id, same ORDER BY score DESC, work_id) AS n FROM s WHERE score > 0.05), r AS (SELECT *, row_number() OVER (PARTITION BY base_id ORDER BY same, score DESC, work_id) AS rank FROM l WHERE n <= 36) SELECT base_id, rank, work_id, round(score, 4) AS score FROM r WHERE rank <= 12")
 def similar_profiles(spark, d):
     p = fx.profiles(spark, d)
-    scored = similar.pair_scores(p, p.filter("work_id % 100 = 0"), ("ideas",)).withColumn("score", F.round("score", 12)).filter("score > 0.05")
-    same = scored.join(p.select("work_id", F.col("author").alias("a")), "work_id").join(p.select(F.col("work_id").alias("base_id"), F.col("author").alias("ba")), "base_id")
-    out = similar.demote_and_fill(same.withColumn("same_author", F.col("a") == F.col("ba")), 12)
+    out = similar.similar_profiles(p, p.filter("work_id % 100 = 0"), "ideas", 12)
     return out.select("base_id", F.col("rank").cast("long").alias("rank"), "work_id", F.round("score", 4).alias("score"))
 
 
