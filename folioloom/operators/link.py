@@ -142,8 +142,10 @@ def _deferred(pairs: DataFrame, size: int | None) -> DataFrame:
     order = ["left_pos", "left_id", F.col("score").desc(), "right_pos", "right_id"]
     earlier = Window.partitionBy("right_id").orderBy("left_pos", "left_id")
     ranges = max(1, -(-pairs.count() // (size or RANGE)))
-    alive = pairs.repartitionByRange(ranges, "left_pos", "left_id").withColumn("range", F.spark_partition_id())
-    alive = written(alive, "pairs") if ranges > 1 else alive
+    if ranges == 1:
+        alive = pairs.withColumn("range", F.lit(0))
+    else:  # more partitions than asked for do no harm: what follows goes by the numbers in the table
+        alive = written(pairs.repartitionByRange(ranges, "left_pos", "left_id").withColumn("range", F.spark_partition_id()), "pairs")
     while True:
         served = alive.repartition(ranges, "range").sortWithinPartitions(*order).mapInArrow(_served_in_order, alive.schema)
         best = written(served.withColumn("m", F.row_number().over(earlier)), "best")

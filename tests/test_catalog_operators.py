@@ -218,6 +218,21 @@ def test_one_to_one_over_ranges_is_the_sequential_greedy(spark, seed):
     assert {r["left_id"]: r["right_id"] for r in link.one_to_one(df, 100).collect()} == want
 
 
+def test_ranges_may_be_more_than_asked_for(spark, monkeypatch):
+    """Results go by the partitions that there are, not by the number that was asked for."""
+    kind, rnd = type(spark.range(1)), random.Random(1)
+    plain = kind.repartitionByRange
+    rows = [(i, *(rnd.randint(1, 10) for _ in AXIS_NAMES), rnd.sample("abc", 1), ["x"]) for i in range(40)]
+    df = spark.createDataFrame(rows, f"work_id long, {', '.join(f'{n} int' for n in AXIS_NAMES)}, themes array<string>, tropes array<string>")
+    pairs = spark.createDataFrame([(k, k, 100 + j, j, 1.0) for k in range(1, 9) for j in {1, k - 1, k} if j], "left_id long, left_pos long, right_id long, right_pos long, score double")
+    key = lambda x: sorted((r["work_id"], r["mode"], r["rank"], r["neighbor_id"], r["score"]) for r in x)
+    want = key(similar.neighbors(df, k=2, blocks=1).collect())
+    monkeypatch.setattr(kind, "repartitionByRange", lambda self, n, *by: plain(self, max(n, 5), *by))
+    assert key(similar.neighbors(df, k=2, blocks=2).collect()) == want and key(similar.neighbors(df, k=2, blocks=1).collect()) == want
+    for size in (None, 9):
+        assert {r["left_id"]: r["right_id"] - 100 for r in link.one_to_one(pairs, size).collect()} == {k: k for k in range(1, 9)}
+
+
 def test_samples_are_the_same_for_any_split(spark):
     rows = [(i, f"s{i % 3 if i % 7 else 0}") for i in range(500)] + [(None, "s1"), (3, "s0")]
     df = spark.createDataFrame(rows, "id long, stratum string")
