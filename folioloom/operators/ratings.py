@@ -50,10 +50,14 @@ def vote_weight(source: Column, votes: Column) -> Column:
 
 
 def aggregate_rating(ratings: DataFrame) -> DataFrame:
-    """work_id, aggregate_rating (null if no source is valid), n_valid; partial sums before the shuffle."""
+    """work_id, aggregate_rating (null if no source is valid), n_valid. A work's terms, one a source, are added in the order of
+    the sources, so that equal ratings give equal scores to the last digit, however the table is cut."""
     ok = is_valid(F.col("source"), F.col("rating"), F.col("votes"))
-    w = F.when(ok, vote_weight(F.col("source"), F.col("votes")))
-    return ratings.groupBy("work_id").agg((F.sum(w * to_percent(F.col("source"), F.col("rating"))) / F.sum(w)).alias("aggregate_rating"), F.count_if(ok).alias("n_valid"))
+    weight = vote_weight(F.col("source"), F.col("votes"))
+    term = F.struct("source", (weight * to_percent(F.col("source"), F.col("rating"))).alias("x"), weight.alias("w"))
+    total = lambda field: F.aggregate("terms", F.lit(0.0), lambda s, t: s + t[field])
+    out = ratings.groupBy("work_id").agg(F.array_sort(F.collect_list(F.when(ok, term))).alias("terms"))
+    return out.select("work_id", F.when(F.size("terms") > 0, total("x") / total("w")).alias("aggregate_rating"), F.size("terms").cast("long").alias("n_valid"))
 
 
 def clean_blocks(ratings: DataFrame) -> DataFrame:
