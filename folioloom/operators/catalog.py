@@ -51,7 +51,7 @@ def publishable(kind: Column, aggregate: Column, rating: Column, download: Colum
 def attach_source(works: DataFrame, records: DataFrame, source: str) -> DataFrame:
     """Each work in catalog order takes its best unused record of a source: adds {source}_id and the record's genres."""
     left = works.select(F.col("work_id").alias("id"), "pos", "title", "authors")
-    links = link.one_to_one(link.candidates(left, records))
+    links = link.one_to_one(link.classes(left, records))
     extra = links.join(records.select(F.col("id").alias("right_id"), F.col("genres").alias("more")), "right_id", "left")
     out = works.join(extra.select(F.col("left_id").alias("work_id"), F.col("right_id").alias(f"{source}_id"), "more"), "work_id", "left")
     return out.withColumn("genres", ordered_union(F.col("genres"), F.coalesce("more", F.array().cast("array<string>")))).drop("more")
@@ -61,7 +61,7 @@ def attach_unused(works: DataFrame, records: DataFrame, used: DataFrame) -> Data
     """Works without a download take the best record that no link uses: adds download_url from it."""
     free = records.join(used.select(F.col("right_id").alias("id")), "id", "left_anti")
     open_ = works.filter(F.col("download_url").isNull()).select(F.col("work_id").alias("id"), "pos", "title", "authors")
-    links = link.one_to_one(link.candidates(open_, free)).join(free.select(F.col("id").alias("right_id"), F.col("download_url").alias("url")), "right_id")
+    links = link.one_to_one(link.classes(open_, free)).join(free.select(F.col("id").alias("right_id"), F.col("download_url").alias("url")), "right_id")
     return works.join(links.select(F.col("left_id").alias("work_id"), "url"), "work_id", "left").withColumn("download_url", F.coalesce("download_url", "url")).drop("url")
 
 

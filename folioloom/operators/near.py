@@ -53,20 +53,21 @@ def _shorter(least: float) -> float:
     return least / (2 - least)
 
 
-def _lost(least: float) -> float:
-    """The bigrams that a string can lack in a partner, as a share of its length: two for a deletion, one for an
+def _lost(least: float, q: int = 2) -> float:
+    """The q-grams that a string can lack in a partner, as a share of its length: q for a deletion, one less for an
     insertion, most if the partner is as short as it can be."""
-    return 1.5 * (1 - least) * (1 + _shorter(least)) + 0.5 * (1 - _shorter(least))
+    return (q - 0.5) * (1 - least) * (1 + _shorter(least)) + 0.5 * (1 - _shorter(least))
 
 
-def near_pairs(strings: DataFrame, least: float = 0.85) -> DataFrame:
-    """a, b, score: pairs whose ratio reaches least (above 2/3). The empty string is like none."""
-    if not 2 / 3 < least <= 1:
-        raise ValueError("least must be above 2/3")
+def near_pairs(strings: DataFrame, least: float = 0.85, q: int = 2) -> DataFrame:
+    """a, b, score: pairs whose ratio reaches least (above 2/3 for bigrams, nearer to 1 for longer q-grams, which are
+    rarer). The empty string is like none, and strings are q - 2 characters long at least."""
+    if not 1 - 0.5 / (q - 0.5) < least <= 1:
+        raise ValueError("least must be above 2/3, and the more so for longer q-grams")
     text = F.concat(F.lit("\x02"), F.col("s"), F.lit("\x03"))
-    keys = strings.filter("n > 0").select("*", F.explode(_numbered(_cut(text, 2))).alias("g")).select("s", "n", "on_right", "g.*")
+    keys = strings.filter("n > 0").select("*", F.explode(_numbered(_cut(text, q))).alias("g")).select("s", "n", "on_right", "g.*")
     often = keys.groupBy("gram", "nth").agg(F.count("*").alias("often"))
-    rare = _rarest(keys, often, _lost(least))
+    rare = _rarest(keys, often, _lost(least, q))
     band = F.floor(F.log("n") / max(-log(_shorter(least)), 0.01) + EPS).cast("int")  # partners are in one band or in neighbouring ones
     x = rare.filter("not on_right").select(F.col("s").alias("a"), F.col("n").alias("na"), "gram", "nth", F.explode(F.array(band - 1, band, band + 1)).alias("band"))
     y = rare.filter("on_right").select(F.col("s").alias("b"), F.col("n").alias("nb"), "gram", "nth", band.alias("band"))

@@ -19,8 +19,8 @@ from folioloom.sources.profile_index import ProfileIndex
  coalesce(100.0 * covered_matched / nullif(covered, 0), 0) >= 70 AS ready FROM t""")
 def match_report_covered(spark, d):
     left, right = _sides(spark, d)
-    pairs = link.candidates(left, right)
-    return link.match_report(left, right, link.one_to_one(pairs), pairs)
+    pairs = link.classes(left, right)
+    return link.match_report(left, right, link.one_to_one(pairs), pairs.covered())
 
 
 def _sampled(kind: str, rows: str, by: str, k: int) -> str:
@@ -37,7 +37,7 @@ _RIGHT = _sampled("right unmatched", "SELECT NULL AS left_id, NULL AS left_title
  SELECT kind, sample_rank, CAST(left_id AS VARCHAR) AS left_id, left_title, CAST(right_id AS VARCHAR) AS right_id, right_title, CAST(score AS DOUBLE) AS score FROM s""")
 def match_samples(spark, d):
     left, right = _sides(spark, d)
-    out = samples.match_samples(left, right, link.one_to_one(link.candidates(left, right)))
+    out = samples.match_samples(left, right, link.one_to_one(link.classes(left, right)))
     return out.withColumns({"sample_rank": F.col("sample_rank").cast("long"), "left_id": F.col("left_id").cast("string"), "right_id": F.col("right_id").cast("string")})
 
 
