@@ -15,8 +15,8 @@ that the text had before it. Over all words these probabilities sum to at most 1
 
 Counts of words and of piece pairs cover all training documents. Words that make up 1 / HEAD of the corpus or
 more are at most HEAD, so they are sent to every task; all other words meet their counts in a join, where none
-is frequent. The attention weights are fitted on one stretch of STRETCH words in SHARE of all stretches of all training documents, chosen by the hash of
-what a stretch holds: in each round every task goes on from the same weights over its windows of the
+is frequent. The attention weights are fitted on all stretches of STRETCH words of all training documents (one in SHARE), dealt to rounds by the
+hash of what a stretch holds: in each round every task goes on from the same weights over its windows of the
 round, and the mean of the tasks' weights, by the pieces that they saw, opens the next round. So the last digits of
 scores depend on how the table is cut into tasks.
 """
@@ -54,9 +54,9 @@ OUT, PREV, DIM, SPAN = 4096, 1024, 16, 16
 #: Frequent outputs with a class of their own, classes for the other starting pieces and as many for the others.
 OWN, GROUPS = 40, 12
 CLASSES = OWN + 2 * GROUPS
-#: The attention weights see one stretch of STRETCH words in SHARE, in ROUNDS rounds a pass; passes are repeated up to
+#: The attention weights see one stretch of STRETCH words in SHARE, which is every one, in ROUNDS rounds a pass; passes are repeated up to
 #: EPOCHS times until FIT_WINDOWS windows were seen.
-SHARE, STRETCH, ROUNDS, FIT_WINDOWS, EPOCHS = 8, 32, 6, 120_000, 8
+SHARE, STRETCH, ROUNDS, FIT_WINDOWS, EPOCHS = 1, 32, 6, 120_000, 8
 _KEEP, _FLUSH, _HALF = 300_000, 300_000, SPAN // 2
 _PLACES = 128 * _HALF  # places that are scored at once
 _MARK = "\u2581"
