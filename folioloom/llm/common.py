@@ -52,8 +52,8 @@ def step(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete tables that staged() or step() wrote, once no later step reads them."""
     for table in tables:
-        if files := table.inputFiles():
-            folder = table.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        for name in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:  # one, or one for each value that the table is cut by
+            folder = table.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
             folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioloom.llm.common import staged
+from folioloom.llm.common import discard, staged, step
 from folioloom.llm.labelled import fold_of
 from folioloom.llm.shingles import mixed
 
@@ -57,6 +57,8 @@ CLASSES = OWN + 2 * GROUPS
 #: The attention weights see one stretch of STRETCH words in SHARE, which is every one, in ROUNDS rounds a pass; passes are repeated up to
 #: EPOCHS times until FIT_WINDOWS windows were seen.
 SHARE, STRETCH, ROUNDS, FIT_WINDOWS, EPOCHS = 1, 32, 6, 120_000, 8
+#: Bytes of texts that a task makes windows of at once.
+SLICE = 1 << 20
 _KEEP, _FLUSH, _HALF = 300_000, 300_000, SPAN // 2
 _PLACES = 128 * _HALF  # places that are scored at once
 _MARK = "\u2581"
@@ -80,6 +82,17 @@ def _tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return words, out, n
 
 
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """texts in parts of SLICE bytes, or of one text: windows and the arrays that they are made with take some hundred times a
+    word's bytes, so a task must not make them of a whole batch."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(size, SLICE + (size[at - 1] if at else 0), "right")))
+        yield texts.slice(at, end - at)
+        at = end
+
+
 def _listed(words: pa.Array) -> list[bytes]:
     """The words as Python objects; many times faster than to_pylist."""
     return words.to_numpy(zero_copy_only=False).tolist()
@@ -341,8 +354,8 @@ def _outputs(model, rank: np.ndarray):
         speller = Speller(model.value)
         near = np.zeros(OUT * OWN)
         kinds = pa.schema([("windows", pa.binary()), ("k", pa.int32()), ("v", pa.binary()), ("round", pa.int32())])
-        for batch in batches:
-            words, codes, n_words = _tokens(batch["text"])
+        for texts in chain.from_iterable(_slices(batch["text"]) for batch in batches):
+            words, codes, n_words = _tokens(texts)
             codes, n_words, begins, rounds = _stretches(words, codes, n_words)
             if not len(codes):
                 continue
@@ -643,7 +656,7 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, text: str =
     fold = fold_of(F.col(doc_id), folds)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), (fold == held_out).alias("held_out"))
     train_rows = rows.filter(~F.col("held_out"))
-    vocabulary = staged(train_rows.select("text").mapInArrow(_counts, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
+    vocabulary = step(train_rows.select("text").mapInArrow(_counts, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
     size = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = size["n"], size["v"]
     # at most HEAD words can have a count of total / HEAD or more
@@ -675,6 +688,7 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, text: str =
     outputs = staged(train_rows.select("text").mapInArrow(_outputs(proto, rank), "windows binary, k int, v binary, round int"), "outputs", by="round")
     group, starting = _classes(counts, _added(outputs.filter("round = -1").select("k", "v"), OUT * OWN), out_starts)
     net = _fit(outputs.filter("round >= 0"), np.r_[group, 0], counts)
+    discard(outputs)
     alone = (seen + 1) / (seen + 1).sum()
     model = Model(rank, rare.astype(np.float32), group, starting, _within(table, counts, group), net, alone.astype(np.float32), float(alone[starts].sum()), begun, begun / np.maximum(1, begun + different))
 
