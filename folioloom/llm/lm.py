@@ -223,76 +223,112 @@ class Model:
     trust: np.ndarray
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    e = np.exp(z - z.max(-1, keepdims=True))
-    e /= e @ np.ones((z.shape[-1], 1), e.dtype)
-    return e
-
-
-def _by(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """x @ w as one product over all rows of all windows."""
-    return (x.reshape(-1, x.shape[-1]) @ w).reshape(*x.shape[:-1], w.shape[-1])
+def _softmax(z: np.ndarray, times: np.ndarray | None = None) -> None:
+    """Makes each row of z its softmax, times a factor where given."""
+    if z.max() > 60:
+        z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z *= ((1 if times is None else times) / (z @ np.ones(z.shape[1], z.dtype)))[:, None]
 
 
 #: Within a window the last half attends to all places up to its own.
 _MASK = np.where(np.arange(SPAN)[None] <= np.arange(_HALF, SPAN)[:, None], 0.0, -1e9).astype(np.float32)
 
 
-def _forward(net: dict[str, np.ndarray], ids: np.ndarray) -> tuple:
-    x = net["emb"][ids] + net["pos"]
-    last = x[:, _HALF:]
-    q, k, v = _by(last, net["q"]), _by(x, net["k"]), _by(x, net["v"])
-    a = _softmax(q @ k.transpose(0, 2, 1) * DIM**-0.5 + _MASK)
-    h = np.concatenate([last, a @ v], -1)
-    z = _by(h, net["out"])
-    z += net["bias"]
-    return x, q, k, v, a, h, z
-
-
 def _fresh(share: np.ndarray, rng: np.random.Generator) -> dict[str, np.ndarray]:
     """Weights to begin with; share is that of each class among all targets."""
     small = lambda *shape: rng.normal(0, shape[0] ** -0.5 if len(shape) > 1 else 0, shape).astype(np.float32)
     return {"emb": small(OUT + 1, DIM) * 4, "pos": small(SPAN, DIM) * 0.5, "q": small(DIM, DIM), "k": small(DIM, DIM), "v": small(DIM, DIM), "out": small(2 * DIM, CLASSES), "bias": np.log(share).astype(np.float32)}
 
 
+#: Windows of a step, and the rate to begin with.
+_SIZE, _RATE = 256, 0.01
+
+
 class _Adam:
     """Steps on the cross entropy of the class of the piece after each place of a window's last half; places behind a
-    text's end are no targets. The gradients are written out."""
+    text's end are no targets. The gradients are written out. Steps of up to _SIZE windows work in arrays that are made once;
+    weights, gradients and moments are one row each, of which `net` and `grad` are views."""
 
     def __init__(self, net: dict[str, np.ndarray], group: np.ndarray) -> None:
-        self.net, self.group, self.n = net, group, 0
-        self.m, self.s = ({n: np.zeros_like(w) for n, w in net.items()} for _ in range(2))
+        self.group, self.n = group, 0
+        # keys and values share one product, as do outputs and their bias, to which a column of ones belongs
+        shapes = {"emb": (OUT + 1, DIM), "pos": (SPAN, DIM), "q": (DIM, DIM), "kv": (DIM, 2 * DIM), "weights": (2 * DIM + 1, CLASSES)}
+        ends = np.cumsum([0, *map(np.prod, shapes.values())])
+        self.w, self.g, self.m, self.s, self.t = np.zeros((5, ends[-1]), np.float32)
+        self.own, self.grad = ({n: row[at : at + np.prod(shape)].reshape(shape) for (n, shape), at in zip(shapes.items(), ends)} for row in (self.w, self.g))
+        kv, weights = self.own["kv"], self.own["weights"]
+        self.net = {n: self.own[n] for n in ("emb", "pos", "q")} | {"k": kv[:, :DIM], "v": kv[:, DIM:], "out": weights[:-1], "bias": weights[-1]}
+        for name, w in net.items():
+            self.net[name][...] = w
+        places, targets = _SIZE * SPAN, _SIZE * _HALF
+        self.at_places = [np.empty((places, m), np.float32) for m in (DIM, DIM, 2 * DIM, 2 * DIM)]
+        self.at_targets = [np.empty((targets, m), np.float32) for m in (DIM, DIM, SPAN, SPAN, 2 * DIM + 1, 2 * DIM, DIM, DIM, CLASSES)]
+        self.at_targets[4][:, -1] = 1
+        self.cells = np.arange((OUT + 1) * DIM).reshape(-1, DIM)
 
     def step(self, windows: np.ndarray, rate: float) -> int:
         """Returns the number of targets."""
-        net, ids, aim = self.net, windows[:, :SPAN], windows[:, _HALF + 1 :]
-        x, q, k, v, a, h, z = _forward(net, ids)
+        own, grad, n, scale = self.own, self.grad, len(windows), np.float32(DIM**-0.5)
+        ids, aim = windows[:, :SPAN].astype(np.intp).ravel(), windows[:, _HALF + 1 :].astype(np.intp).ravel()
         real = aim < OUT
-        n = int(real.sum())
-        dz = _softmax(z)
-        dz.reshape(-1, CLASSES)[np.arange(aim.size), self.group[aim].ravel()] -= 1
-        dz *= (real / np.float32(max(1, n)))[..., None].astype(np.float32)
-        dh = _by(dz, net["out"].T)
-        dc = dh[..., DIM:]
-        da = dc @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(-1, keepdims=True)) * np.float32(DIM**-0.5)
-        dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dc
-        dx = _by(dk, net["k"].T)
-        dx += _by(dv, net["v"].T)
-        dx[:, _HALF:] += dh[..., :DIM] + _by(dq, net["q"].T)
-        flat = lambda t: t.reshape(-1, t.shape[-1])
-        at, by = ids.ravel(), flat(dx)
-        emb = np.stack([np.bincount(at, by[:, d], OUT + 1) for d in range(DIM)], 1).astype(np.float32)
-        grads = {"emb": emb, "pos": dx.sum(0), "q": flat(x[:, _HALF:]).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv), "out": flat(h).T @ flat(dz), "bias": flat(dz).sum(0)}
+        count = int(real.sum())
+        x, dx, kv, dkv = (y[: n * SPAN] for y in self.at_places)
+        q, dq, a, ds, h, dh, c, dc, z = (y[: n * _HALF] for y in self.at_targets)
+        full = lambda y: y.reshape(n, SPAN, -1)
+        half = lambda y: y.reshape(n, _HALF, -1)
+        turned = lambda y: y.transpose(0, 2, 1)
+        k, v, dk, dv = full(kv)[..., :DIM], full(kv)[..., DIM:], full(dkv)[..., :DIM], full(dkv)[..., DIM:]
+        own["emb"].take(ids, 0, x, "clip")
+        full(x)[...] += own["pos"]
+        half(h)[..., :DIM] = full(x)[:, _HALF:]
+        last = h[:, :DIM]
+        np.matmul(last, own["q"], out=q)
+        np.matmul(x, own["kv"], out=kv)
+        np.matmul(half(q), turned(k), out=half(a))
+        a *= scale
+        half(a)[...] += _MASK
+        _softmax(a)
+        np.matmul(half(a), v, out=half(c))
+        h[:, DIM : 2 * DIM] = c
+        np.matmul(h, own["weights"], out=z)
+        share = real.astype(np.float32) / np.float32(max(1, count))
+        _softmax(z, share)  # from here z is its gradient, as are those named d
+        z.reshape(-1)[np.arange(0, z.size, CLASSES) + self.group[aim]] -= share
+        np.matmul(z, own["weights"][:-1].T, out=dh)
+        dc[...] = dh[:, DIM:]
+        np.matmul(half(dc), turned(v), out=half(ds))
+        ds -= np.einsum("ij,ij->i", dc, c)[:, None]  # the sum of ds * a
+        ds *= a
+        ds *= scale
+        np.matmul(half(ds), k, out=half(dq))
+        np.matmul(turned(half(ds)), half(q), out=dk)
+        np.matmul(turned(half(a)), half(dc), out=dv)
+        np.matmul(dkv, own["kv"].T, out=dx)
+        np.matmul(dq, own["q"].T, out=c)
+        c += dh[:, :DIM]
+        full(dx)[:, _HALF:] += half(c)
+        np.matmul(last.T, dq, out=grad["q"])
+        np.matmul(x.T, dkv, out=grad["kv"])
+        np.matmul(h.T, z, out=grad["weights"])
+        np.sum(full(dx), 0, out=grad["pos"])
+        grad["emb"].ravel()[...] = np.bincount(self.cells.take(ids, 0).ravel(), dx.ravel(), self.cells.size)
         self.n += 1
-        for name, g in grads.items():
-            self.m[name] += np.float32(0.1) * (g - self.m[name])
-            self.s[name] += np.float32(0.01) * (g * g - self.s[name])
-            net[name] -= np.float32(rate / (1 - 0.9**self.n)) * self.m[name] / (np.sqrt(self.s[name] / np.float32(1 - 0.99**self.n)) + np.float32(1e-8))
-        return n
-
-
-_SIZE, _RATE = 256, 0.01
+        g, m, s, t = self.g, self.m, self.s, self.t
+        np.subtract(g, m, out=t)
+        t *= np.float32(0.1)
+        m += t
+        np.multiply(g, g, out=t)
+        t -= s
+        t *= np.float32(0.01)
+        s += t
+        np.divide(s, np.float32(1 - 0.99**self.n), out=t)
+        np.sqrt(t, out=t)
+        t += np.float32(1e-8)
+        np.divide(m, t, out=t)
+        t *= np.float32(rate / (1 - 0.9**self.n))
+        self.w -= t
+        return count
 
 
 def train(windows: np.ndarray, group: np.ndarray, epochs: int = EPOCHS, rate: float = _RATE, seed: int = 11) -> dict[str, np.ndarray]:
@@ -398,7 +434,7 @@ def _round(shared, rate: float, held: int = 50_000):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, group = shared.value
-        fit, rng, seen = _Adam({n: w.copy() for n, w in net.items()}, group), np.random.default_rng(7), 0
+        fit, rng, seen = _Adam(net, group), np.random.default_rng(7), 0
         parts: list[np.ndarray] = []
 
         def learn() -> int:
