@@ -223,7 +223,18 @@ class Model:
     trust: np.ndarray
 
 
-def _softmax(z: np.ndarray, times: np.ndarray | None = None) -> None:
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(-1, keepdims=True))
+    e /= e @ np.ones((z.shape[-1], 1), e.dtype)
+    return e
+
+
+def _by(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w as one product over all rows of all windows."""
+    return (x.reshape(-1, x.shape[-1]) @ w).reshape(*x.shape[:-1], w.shape[-1])
+
+
+def _to_softmax(z: np.ndarray, times: np.ndarray | None = None) -> None:
     """Makes each row of z its softmax, times a factor where given."""
     if z.max() > 60:
         z -= z.max(1, keepdims=True)
@@ -235,6 +246,18 @@ def _softmax(z: np.ndarray, times: np.ndarray | None = None) -> None:
 _MASK = np.where(np.arange(SPAN)[None] <= np.arange(_HALF, SPAN)[:, None], 0.0, -1e9).astype(np.float32)
 
 
+def _forward(net: dict[str, np.ndarray], ids: np.ndarray) -> tuple:
+    """The pass written plainly; steps and scores do the same in arrays that are made once."""
+    x = net["emb"][ids] + net["pos"]
+    last = x[:, _HALF:]
+    q, k, v = _by(last, net["q"]), _by(x, net["k"]), _by(x, net["v"])
+    a = _softmax(q @ k.transpose(0, 2, 1) * DIM**-0.5 + _MASK)
+    h = np.concatenate([last, a @ v], -1)
+    z = _by(h, net["out"])
+    z += net["bias"]
+    return x, q, k, v, a, h, z
+
+
 def _fresh(share: np.ndarray, rng: np.random.Generator) -> dict[str, np.ndarray]:
     """Weights to begin with; share is that of each class among all targets."""
     small = lambda *shape: rng.normal(0, shape[0] ** -0.5 if len(shape) > 1 else 0, shape).astype(np.float32)
@@ -288,12 +311,12 @@ class _Adam:
         np.matmul(half(q), turned(k), out=half(a))
         a *= scale
         half(a)[...] += _MASK
-        _softmax(a)
+        _to_softmax(a)
         np.matmul(half(a), v, out=half(c))
         h[:, DIM : 2 * DIM] = c
         np.matmul(h, own["weights"], out=z)
         share = real.astype(np.float32) / np.float32(max(1, count))
-        _softmax(z, share)  # from here z is its gradient, as are those named d
+        _to_softmax(z, share)  # from here z is its gradient, as are those named d
         z.reshape(-1)[np.arange(0, z.size, CLASSES) + self.group[aim]] -= share
         np.matmul(z, own["weights"][:-1].T, out=dh)
         dc[...] = dh[:, DIM:]
